@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import quality, simhash, suffix
 
 QUERIES = {
+    "op1_suffix": suffix.op1_suffix,
     "op7_simhash": simhash.op7_simhash,
     "op10_quality": quality.op10_quality,
 }
