@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import common, quality, simhash
+from weft.llm import common, merges, quality, simhash, suffix, tiling
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,9 +18,24 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one(docs)
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tiling.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return merges.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep=("lang", "source"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", drop_low_quality),
     ("simhash", drop_near_copies),
+    ("suffix", cut_repeats),
+    ("tiling", drop_contaminated),
+    ("merges", encode),
 ]
 
 #: The stages learn, hash and recurse, which SQL can't express; tests hold them against brute force.

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, simhash, suffix
+from . import merges, prefixes, quality, simhash, suffix, tiling
 
 QUERIES = {
     "op1_suffix": suffix.op1_suffix,
+    "op3_tiling": tiling.op3_tiling,
+    "op5_prefixes": prefixes.op5_prefixes,
+    "op6_merges": merges.op6_merges,
     "op7_simhash": simhash.op7_simhash,
     "op10_quality": quality.op10_quality,
 }
