@@ -1 +1 @@
-"""Part of the engine; see the README."""
+"""Column builders; everything here compiles into Catalyst expressions."""
