@@ -1 +1 @@
-"""Part of the engine; see the README."""
+"""Readers and writers of graphs, stores and side tables."""
