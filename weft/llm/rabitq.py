@@ -91,12 +91,11 @@ def near_pairs(x: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float) -> np
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label)."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
-    rows = rows.withColumn("embedding", F.transform("embedding", lambda v: v.cast("double")))
     sound = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     marked = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     classes = common.durable(marked.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies")))
     width, tables = plan(classes.count(), cosine)
-    label_type = embeddings.schema["label"].dataType.simpleString()
+    label_type, vector_type = (embeddings.schema[c].dataType.simpleString() for c in ("label", "embedding"))
 
     def spread(batches):
         for batch in batches:
@@ -106,7 +105,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), t, np.int64)), pa.array(np.full(len(own), x.shape[1], np.int64)), pa.array(key[:, t]), *part.columns], ["place", "size", "key", *batch.schema.names])
 
-    spreaded = classes.mapInArrow(spread, f"place long, size long, key long, label {label_type}, embedding array<double>, class_id long, copies long")
+    spreaded = classes.mapInArrow(spread, f"place long, size long, key long, label {label_type}, embedding {vector_type}, class_id long, copies long")
     bucket = F.xxhash64("place", "size", "key", "label")
 
     def compare(batches):
