@@ -25,7 +25,7 @@ def calibration(answers: DataFrame) -> DataFrame:
 def coverage(components: DataFrame, covered: DataFrame) -> DataFrame:
     """Share of components with a test."""
     both = components.select("id").distinct().join(covered.select("id").distinct().withColumn("hit", F.lit(1)), "id", "left")
-    return both.agg(F.count("*").alias("components"), F.count("hit").alias("covered"), F.round(F.count("hit") / F.count("*"), 6).alias("ratio"))
+    return both.agg(F.count("*").alias("components"), F.count("hit").alias("covered"), F.round(F.try_divide(F.count("hit"), F.count("*")), 6).alias("ratio"))
 
 
 def untested(components: DataFrame, covered: DataFrame) -> DataFrame:
