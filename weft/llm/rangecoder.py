@@ -37,222 +37,227 @@ from . import common, pieces
 BLOCK = 2048
 LANES = 2048
 SLOTS = 1024  # of each prediction table of a lane
+STEP = 40 << 20  # characters whose distinct pieces are encoded together
 REFRESH = 64  # steps between sums of the order-0 frequencies
 MAGIC = b"WEFTIDS1"
-_TOP, _BOTTOM = 1 << 24, 1 << 16
-_MASK = np.uint64(0xFFFFFFFF)
+_TOP, _BOTTOM, _BITS = np.uint64(1 << 48), np.uint64(1 << 32), 24
 _U = np.uint64
+_SIXTEEN = np.arange(1, 17)
 
 #: stretch(p) = ln(p / (1 - p)) in 1/256 for p in 1/4096, and its inverse.
 _STRETCH = np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256).astype(np.int64)
 _SQUASH = np.clip(np.round(4096 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))), 32, 4064).astype(np.int64)
 
 
+def _settle(low: np.ndarray, wide: np.ndarray, shift) -> None:
+    """Carryless renormalisation, in place; shift(lanes, low) is told of every word that moves out or in."""
+    todo = None
+    while True:
+        l, w = (low, wide) if todo is None else (low[todo], wide[todo])
+        top = l + w
+        settled = ((l ^ top) < _TOP) & (top >= l)
+        move = np.flatnonzero(settled | (w < _BOTTOM))
+        if not len(move):
+            return
+        todo = move if todo is None else todo[move]
+        l, w = l[move], w[move]
+        w = np.where(settled[move], w, (_U(0) - l) & (_BOTTOM - _U(1)))
+        shift(todo, l)
+        low[todo], wide[todo] = l << _U(16), w << _U(16)
+
+
 class _Writer:
+    """Range coder of many lanes with 64-bit bounds; it gives out 16 bits at a time."""
+
     def __init__(self, lanes: int, length: int):
-        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 0xFFFFFFFF, _U)
-        self.out, self.at = np.zeros((lanes, length * 8 + 16), np.uint8), np.zeros(lanes, np.int64)
-
-    def code(self, own: np.ndarray, start: np.ndarray, size: np.ndarray, total: np.ndarray | int) -> None:
-        r = self.range[own] // _U(total) if isinstance(total, int) else self.range[own] // total.astype(_U)
-        low = (self.low[own] + start.astype(_U) * r) & _MASK
-        wide = r * size.astype(_U)
-        todo = np.arange(len(own))
-        while True:
-            l, w = low[todo], wide[todo]
-            settled = (l ^ ((l + w) & _MASK)) < _TOP
-            settled &= (l + w) <= _MASK
-            small = w < _BOTTOM
-            move = settled | small
-            if not move.any():
-                break
-            todo, l, w = todo[move], l[move], w[move]
-            cut = ~settled[move]
-            w[cut] = (_U(0x100000000) - l[cut]) & _U(_BOTTOM - 1)
-            lanes = own[todo]
-            self.out[lanes, self.at[lanes]] = (l >> _U(24)).astype(np.uint8)
-            self.at[lanes] += 1
-            low[todo], wide[todo] = (l << _U(8)) & _MASK, (w << _U(8)) & _MASK
-        self.low[own], self.range[own] = low, wide
+        self.low, self.range = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
+        self.width = length * 4 + 16
+        self.out, self.at = np.zeros(lanes * self.width, "<u2"), np.arange(lanes) * self.width
+        self.begin = self.at.copy()
+
+    def code(self, own, start: np.ndarray, size: np.ndarray, total: np.ndarray | None = None) -> None:
+        """Of a total of 2 ** 24, unless another is given; own: a slice or distinct lanes."""
+        r = self.range[own] >> _U(_BITS) if total is None else self.range[own] // total.view(_U)
+        low, wide = self.low[own] + start.view(_U) * r, r * size.view(_U)
+        at = self.at[own]
+
+        def shift(todo, l):
+            self.out[at[todo]] = l >> _U(48)
+            at[todo] += 1
+
+        _settle(low, wide, shift)
+        self.low[own], self.range[own], self.at[own] = low, wide, at
 
     def close(self) -> list[bytes]:
-        for shift in (24, 16, 8, 0):
-            lanes = np.arange(len(self.low))
-            self.out[lanes, self.at] = ((self.low >> _U(shift)) & _U(255)).astype(np.uint8)
+        for k in (48, 32, 16, 0):
+            self.out[self.at] = (self.low >> _U(k)) & _U(0xFFFF)
             self.at += 1
-        return [row[:n].tobytes() for row, n in zip(self.out, self.at.tolist())]
+        return [self.out[a:b].tobytes() for a, b in zip(self.begin.tolist(), self.at.tolist())]
 
 
 class _Reader:
     def __init__(self, codes: list[bytes]):
-        width = max(map(len, codes)) + 8
-        self.data = np.zeros((len(codes), width), np.uint8)
-        for k, code in enumerate(codes):
-            self.data[k, : len(code)] = np.frombuffer(code, np.uint8)
-        self.low, self.range = np.zeros(len(codes), _U), np.full(len(codes), 0xFFFFFFFF, _U)
-        self.code = (self.data[:, :4].astype(_U) * np.array([1 << 24, 1 << 16, 1 << 8, 1], _U)).sum(axis=1, dtype=_U)
-        self.at = np.full(len(codes), 4, np.int64)
-
-    def value(self, own: np.ndarray, total: np.ndarray | int) -> np.ndarray:
-        total = np.full(len(own), total, _U) if isinstance(total, int) else total.astype(_U)
-        self.step = self.range[own] // total
-        return np.minimum(((self.code[own] - self.low[own]) & _MASK) // self.step, total - _U(1)).astype(np.int64)
-
-    def take(self, own: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        low = (self.low[own] + start.astype(_U) * self.step) & _MASK
-        wide = self.step * size.astype(_U)
-        todo = np.arange(len(own))
-        while True:
-            l, w = low[todo], wide[todo]
-            settled = (l ^ ((l + w) & _MASK)) < _TOP
-            settled &= (l + w) <= _MASK
-            move = settled | (w < _BOTTOM)
-            if not move.any():
-                break
-            todo, l, w = todo[move], l[move], w[move]
-            cut = ~settled[move]
-            w[cut] = (_U(0x100000000) - l[cut]) & _U(_BOTTOM - 1)
-            lanes = own[todo]
-            self.code[lanes] = ((self.code[lanes] << _U(8)) & _MASK) | self.data[lanes, self.at[lanes]].astype(_U)
-            self.at[lanes] += 1
-            low[todo], wide[todo] = (l << _U(8)) & _MASK, (w << _U(8)) & _MASK
-        self.low[own], self.range[own] = low, wide
+        size = [len(c) // 2 for c in codes]
+        self.data = np.concatenate([np.frombuffer(b"".join(codes), "<u2"), np.zeros(8, "<u2")]).astype(_U)
+        begin = np.append(0, np.cumsum(size))[:-1]
+        self.low, self.range = np.zeros(len(codes), _U), np.full(len(codes), 2**64 - 1, _U)
+        self.value_ = sum(self.data[begin + k] << _U(48 - 16 * k) for k in range(4))
+        self.at = begin + 4
+
+    def value(self, own, total: np.ndarray | None = None) -> np.ndarray:
+        self.step = self.range[own] >> _U(_BITS) if total is None else self.range[own] // total.view(_U)
+        most = _U((1 << _BITS) - 1) if total is None else total.view(_U) - _U(1)
+        return np.minimum((self.value_[own] - self.low[own]) // self.step, most).view(np.int64)
+
+    def take(self, own, start: np.ndarray, size: np.ndarray) -> None:
+        low, wide = self.low[own] + start.view(_U) * self.step, self.step * size.view(_U)
+        at, value = self.at[own], self.value_[own]
+
+        def shift(todo, _):
+            value[todo] = value[todo] << _U(16) | self.data[at[todo]]
+            at[todo] += 1
+
+        _settle(low, wide, shift)
+        self.low[own], self.range[own], self.at[own], self.value_[own] = low, wide, at, value
 
 
 class _Model:
-    """Predictions of all lanes; the same updates follow from coding and from decoding."""
+    """Predictions of all lanes; the same updates follow from coding and from decoding.
+
+    A table's entry is an id and how far it is trusted (0 to 3) in the low two bits.
+    """
 
     def __init__(self, lanes: int):
-        self.lanes = lanes
-        self.two, self.one = np.zeros((lanes, SLOTS), np.int32), np.zeros((lanes, SLOTS), np.int32)
-        self.trust2, self.trust1 = np.zeros((lanes, SLOTS), np.int8), np.zeros((lanes, SLOTS), np.int8)
-        self.rate2, self.rate1 = np.full((lanes, 4), 2048, np.int64), np.full((lanes, 8), 2048, np.int64)
-        self.rate0, self.second = np.full(lanes, 512, np.int64), np.full((lanes, 4), 1024, np.int64)
-        self.weights = np.full((lanes, 3), 1 << 14, np.int64)  # in 1/65536
+        self.two, self.one = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
+        self.rate2, self.rate1 = np.full(lanes * 4, 2048, np.int64), np.full(lanes * 8, 2048, np.int64)
+        self.rate0, self.second = np.full(lanes, 512, np.int64), np.full(lanes * 4, 1024, np.int64)
+        self.weights = [np.full(lanes, 1 << 14, np.int64) for _ in range(3)]  # in 1/65536
         self.count = np.ones((lanes, 256), np.int64)
-        self.sums = np.tile(np.arange(257), (lanes, 1))
-        self.past = np.zeros((2, lanes), np.int64)
-
-    def predict(self, own: np.ndarray) -> None:
-        a, b = self.past[0, own], self.past[1, own]
-        self.slot2 = ((a * 40503 + b * 30011) >> 3) % SLOTS
-        self.slot1 = (a * 40503 >> 4) % SLOTS
-        self.guess2, self.guess1 = self.two[own, self.slot2].astype(np.int64), self.one[own, self.slot1].astype(np.int64)
-        self.t2, self.t1 = self.trust2[own, self.slot2].astype(np.int64), self.trust1[own, self.slot1].astype(np.int64)
-        self.guess = np.where(self.t2 > 0, self.guess2, self.guess1)
-        self.same = self.t1 + 4 * (self.guess1 == self.guess)
-        inputs = np.stack([_STRETCH[self.rate2[own, self.t2]], _STRETCH[self.rate1[own, self.same]], _STRETCH[self.rate0[own]]], axis=1)
-        self.inputs = inputs
-        mixed = (self.weights[own] * inputs).sum(axis=1) >> 16
+        self.sums = np.zeros((lanes, 257), np.int64)
+        self.last, self.last_two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.lane = np.arange(lanes)
+
+    def predict(self, n: int) -> None:
+        """For the first n lanes: the guesses, and the chances of 2 ** 24 of the first, the second, and neither."""
+        lane, a = self.lane[:n], self.last[:n]
+        base = lane * SLOTS
+        self.at2 = base + (((a * 40503 + self.last_two[:n] * 30011) >> 3) & (SLOTS - 1))
+        self.at1 = base + ((a * 40503 >> 4) & (SLOTS - 1))
+        self.entry2, self.entry1 = self.two[self.at2].astype(np.int64), self.one[self.at1].astype(np.int64)
+        t2, t1 = self.entry2 & 3, self.entry1 & 3
+        self.guess1 = self.entry1 >> 2
+        self.guess = np.where(t2 > 0, self.entry2 >> 2, self.guess1)
+        same = self.guess1 == self.guess
+        self.r2, self.r1, self.rs = lane * 4 + t2, lane * 8 + t1 + 4 * same, lane * 4 + t1
+        rates = self.rate2[self.r2], self.rate1[self.r1], self.rate0[:n]
+        self.inputs = [_STRETCH[r] for r in rates]
+        mixed = (self.weights[0][:n] * self.inputs[0] + self.weights[1][:n] * self.inputs[1] + self.weights[2][:n] * self.inputs[2]) >> 16
         self.chance = _SQUASH[np.clip(mixed + 2048, 0, 4095)]
+        p = np.where(same, 0, np.clip(self.second[self.rs], 32, 4064))
+        self.first = self.chance << 12
+        self.other = (4096 - self.chance) * p
+        self.rates = rates
 
-    def learn_hit(self, own: np.ndarray, hit: np.ndarray) -> None:
+    def learn(self, n: int, ids: np.ndarray) -> None:
+        hit = self.guess == ids
         error = np.where(hit, 4096, 0) - self.chance
-        self.weights[own] += (self.inputs * error[:, None]) >> 8
         goal = np.where(hit, 4095, 0)
-        self.rate2[own, self.t2] += (goal - self.rate2[own, self.t2]) >> 5
-        self.rate1[own, self.same] += (goal - self.rate1[own, self.same]) >> 5
-        self.rate0[own] += (goal - self.rate0[own]) >> 5
-
-    def learn(self, own: np.ndarray, ids: np.ndarray) -> None:
-        for table, trust, slot, guess, t in ((self.two, self.trust2, self.slot2, self.guess2, self.t2), (self.one, self.trust1, self.slot1, self.guess1, self.t1)):
-            right = guess == ids
-            trust[own, slot] = np.where(right & (t > 0), np.minimum(t + 1, 3), np.where(t > 1, t - 1, 1))
-            table[own, slot] = np.where(t > 1, guess, ids)
-        self.past[1, own] = self.past[0, own]
-        self.past[0, own] = ids
+        for w, x in zip(self.weights, self.inputs):
+            w[:n] += (x * error) >> 8
+        self.rate2[self.r2] = self.rates[0] + ((goal - self.rates[0]) >> 5)
+        self.rate1[self.r1] = self.rates[1] + ((goal - self.rates[1]) >> 5)
+        self.rate0[:n] += (goal - self.rates[2]) >> 5
+        asked = np.flatnonzero(~hit & (self.other > 0))
+        where = self.rs[asked]
+        self.second[where] += (np.where(self.guess1[asked] == ids[asked], 4095, 0) - self.second[where]) >> 4
+        for table, at, entry in ((self.two, self.at2, self.entry2), (self.one, self.at1, self.entry1)):
+            t = entry & 3
+            right = (entry >> 2 == ids) & (t > 0)
+            trust = np.where(right, np.minimum(t + 1, 3), np.maximum(t - 1, 1))
+            table[at] = np.where(right | (t > 1), entry & ~np.int64(3), ids << 2) | trust
+        self.last_two[:n] = self.last[:n]
+        self.last[:n] = ids
 
     def refresh(self) -> None:
         np.cumsum(self.count, axis=1, out=self.sums[:, 1:])
+        self.coarse = np.ascontiguousarray(self.sums[:, 16::16])
 
 
 def encode_blocks(ids: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """(ids, crc32, code) of each block; ids below 65536 * 256."""
+    """(ids, crc32, code) of each block; ids below 65536."""
     out = []
-    for first in range(0, len(ids), BLOCK * LANES):
-        part = ids[first : first + BLOCK * LANES].astype(np.int64)
-        lanes = -(-len(part) // BLOCK)
+    for begin in range(0, len(ids), BLOCK * LANES):
+        part = ids[begin : begin + BLOCK * LANES].astype(np.int64)
+        lanes, length = -(-len(part) // BLOCK), min(BLOCK, len(part))
+        last = len(part) - (lanes - 1) * BLOCK
         grid = np.zeros(lanes * BLOCK, np.int64)
         grid[: len(part)] = part
-        grid = grid.reshape(lanes, BLOCK)
-        last = len(part) - (lanes - 1) * BLOCK
-        writer, model = _Writer(lanes, min(BLOCK, len(part))), _Model(lanes)
-        for t in range(min(BLOCK, len(part))):
-            own = np.arange(lanes if t < last else lanes - 1)
+        grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
+        writer, model = _Writer(lanes, length), _Model(lanes)
+        for t in range(length):
+            n = lanes if t < last else lanes - 1
             if t % REFRESH == 0:
                 model.refresh()
-            now = grid[own, t]
-            model.predict(own)
+            now = grid[t, :n]
+            model.predict(n)
             hit = model.guess == now
-            chance = model.chance
-            writer.code(own, np.where(hit, 0, chance), np.where(hit, chance, 4096 - chance), 4096)
-            model.learn_hit(own, hit)
-            rest = np.flatnonzero(~hit & (model.guess1 != model.guess))
-            if len(rest):
-                lane, t1 = own[rest], model.t1[rest]
-                right = model.guess1[rest] == now[rest]
-                p = np.clip(model.second[lane, t1], 32, 4064)
-                writer.code(lane, np.where(right, 0, p), np.where(right, p, 4096 - p), 4096)
-                model.second[lane, t1] += (np.where(right, 4095, 0) - model.second[lane, t1]) >> 4
-            plain = np.flatnonzero(~hit & (model.guess1 != now))
+            near = ~hit & (model.guess1 == now)
+            both = model.first + model.other
+            writer.code(slice(0, n), np.where(hit, 0, np.where(near, model.first, both)), np.where(hit, model.first, np.where(near, model.other, (1 << _BITS) - both)))
+            plain = np.flatnonzero(~hit & ~near)
             if len(plain):
-                lane, value = own[plain], now[plain]
+                value = now[plain]
                 upper = value >> 8
-                writer.code(lane, model.sums[lane, upper], model.sums[lane, upper + 1] - model.sums[lane, upper], model.sums[lane, 256])
-                writer.code(lane, value & 255, np.ones(len(lane), np.int64), 256)
-                model.count[lane, upper] += 4
-            model.learn(own, now)
+                sums = model.sums[plain, upper]
+                share = model.sums[plain, upper + 1] - sums
+                writer.code(plain, (sums << 8) + share * (value & 255), share, model.sums[plain, 256] << 8)
+                model.count[plain, upper] += 4
+            model.learn(n, now)
         size = [BLOCK] * (lanes - 1) + [last]
         for k, code in enumerate(writer.close()):
-            out.append((size[k], zlib.crc32(grid[k, : size[k]].astype("<u4").tobytes()), code))
+            out.append((size[k], zlib.crc32(np.ascontiguousarray(grid[: size[k], k]).astype("<u4").tobytes()), code))
     return out
 
 
 def decode_blocks(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     """Ids of the blocks, checked against their sums; only the last of LANES blocks may be short."""
     out = [np.zeros(0, np.uint32)]
-    for first in range(0, len(blocks), LANES):
-        part = blocks[first : first + LANES]
+    for begin in range(0, len(blocks), LANES):
+        part = blocks[begin : begin + LANES]
         lanes, sizes = len(part), [x[0] for x in part]
-        grid = np.zeros((lanes, max(sizes)), np.int64)
+        grid = np.zeros((max(sizes), lanes), np.int64)
         reader, model, last = _Reader([x[2] for x in part]), _Model(lanes), sizes[-1]
         for t in range(max(sizes)):
-            own = np.arange(lanes if t < last else lanes - 1)
+            n = lanes if t < last else lanes - 1
             if t % REFRESH == 0:
                 model.refresh()
-            model.predict(own)
-            chance = model.chance
-            hit = reader.value(own, 4096) < chance
-            reader.take(own, np.where(hit, 0, chance), np.where(hit, chance, 4096 - chance))
-            now = np.where(hit, model.guess, -1)
-            model.learn_hit(own, hit)
-            rest = np.flatnonzero(~hit & (model.guess1 != model.guess))
-            if len(rest):
-                lane, t1 = own[rest], model.t1[rest]
-                p = np.clip(model.second[lane, t1], 32, 4064)
-                right = reader.value(lane, 4096) < p
-                reader.take(lane, np.where(right, 0, p), np.where(right, p, 4096 - p))
-                model.second[lane, t1] += (np.where(right, 4095, 0) - model.second[lane, t1]) >> 4
-                now[rest[right]] = model.guess1[rest[right]]
-            plain = np.flatnonzero(now < 0)
+            model.predict(n)
+            both = model.first + model.other
+            value = reader.value(slice(0, n))
+            hit = value < model.first
+            near = ~hit & (value < both)
+            reader.take(slice(0, n), np.where(hit, 0, np.where(near, model.first, both)), np.where(hit, model.first, np.where(near, model.other, (1 << _BITS) - both)))
+            now = np.where(hit, model.guess, model.guess1)
+            plain = np.flatnonzero(~hit & ~near)
             if len(plain):
-                lane = own[plain]
-                sums = model.sums[lane]
-                value = reader.value(lane, sums[:, 256])
-                upper = (sums[:, 1:] <= value[:, None]).sum(axis=1)
-                row = np.arange(len(lane))
-                reader.take(lane, sums[row, upper], sums[row, upper + 1] - sums[row, upper])
-                lower = reader.value(lane, 256)
-                reader.take(lane, lower, np.ones(len(lane), np.int64))
+                value = reader.value(plain, model.sums[plain, 256] << 8)
+                goal = (value >> 8)[:, None]
+                upper = (model.coarse[plain] <= goal).sum(axis=1) * 16  # sixteenths first
+                fine = plain[:, None] * 257 + upper[:, None] + _SIXTEEN
+                upper += (model.sums.ravel()[fine] <= goal).sum(axis=1)
+                below = model.sums[plain, upper]
+                share = model.sums[plain, upper + 1] - below
+                lower = (value - (below << 8)) // share
+                reader.take(plain, (below << 8) + share * lower, share)
                 now[plain] = upper << 8 | lower
-                model.count[lane, upper] += 4
-            grid[own, t] = now
-            model.learn(own, now)
+                model.count[plain, upper] += 4
+            grid[t, :n] = now
+            model.learn(n, now)
         for k, (size, crc, _) in enumerate(part):
-            ids = grid[k, :size].astype("<u4")
-            if zlib.crc32(ids.tobytes()) != crc:
-                raise ValueError(f"block {first + k} does not match its checksum")
-            out.append(ids)
+            own = np.ascontiguousarray(grid[:size, k]).astype("<u4")
+            if zlib.crc32(own.tobytes()) != crc:
+                raise ValueError(f"block {begin + k} does not match its checksum")
+            out.append(own)
     return np.concatenate(out)
 
 
@@ -300,10 +305,13 @@ def tokenize(texts: list[str], path: str, end_id: int) -> tuple[np.ndarray, np.n
         own = np.array(list(map(number, text.split(" "))), np.int64)
         codes.append(own)
         count.append(len(own))
-    encoded = [x.ids for x in _tokenizer(path).encode_batch_fast(list(known), add_special_tokens=False)]
-    encoded.append([end_id])
-    starts = np.append(0, np.cumsum([len(x) for x in encoded])).astype(np.int64)
-    values = np.array([k for x in encoded for k in x], np.int64)
+    words, size, parts = list(known), [], []
+    for k in range(0, len(words), 1 << 16):
+        encoded = [x.ids for x in _tokenizer(path).encode_batch_fast(words[k : k + (1 << 16)], add_special_tokens=False)]
+        size += map(len, encoded)
+        parts.append(np.fromiter((i for x in encoded for i in x), np.int32))
+    starts = np.append(0, np.cumsum([*size, 1])).astype(np.int64)
+    values = np.concatenate([*parts, np.array([end_id], np.int32)])
     ends = np.append(0, np.cumsum(np.array(count, np.int64) + 1))
     rows = np.full(ends[-1], len(known), np.int64)
     inside = np.ones(len(rows), bool)
@@ -325,7 +333,7 @@ def write(documents: DataFrame, folder: str, path: str, end_id: int = 1) -> list
 
         ids, sizes, parts = [], [], []
         for batch in batches:
-            for first, texts in pieces.text_steps(batch.column("text").to_pylist()):
+            for first, texts in pieces.text_steps(batch.column("text").to_pylist(), STEP):
                 own, at = tokenize(texts, path, end_id)
                 parts.append(own.astype(np.uint32))
                 sizes.append(np.diff(at))
@@ -345,7 +353,7 @@ def write(documents: DataFrame, folder: str, path: str, end_id: int = 1) -> list
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sized = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = int(max(spark.sparkContext.defaultParallelism, min(100_000, sized >> 24)))
+    count = int(max(spark.sparkContext.defaultParallelism, min(100_000, sized >> 25)))
     ranged = docs.repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id")
     return sorted((r["name"], r["ids"]) for r in ranged.mapInArrow(store, "name string, ids long").collect())
 
