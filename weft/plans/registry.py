@@ -258,7 +258,7 @@ def _impact_sql(start: str, depth: int = 99) -> str:
 def _impact(spark, sf_dir, start: str, depth: int | None = None):
     graph = sales_graph(spark, sf_dir)
     targets = graph.nodes.where(F.col("id").startswith(start)).select(F.col("id").alias("origin"), F.col("id").alias("node"))
-    return traverse.blast_radius(graph, targets, depth).select("origin", "node", "kind", "distance")
+    return traverse.blast_radius(graph, targets, depth, relations=False)
 
 
 @query(_impact_sql("part:"))
