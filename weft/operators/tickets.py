@@ -7,9 +7,22 @@ from pyspark.sql import functions as F
 
 VIDEO_LINK = r"(?i)\.(gif|mkv|avi|webm|mov|mp4)(#|\?|$)"
 VIDEO_MENTION = r"(?i)\b(screencast|screen[ -]?recording|video (of|recording|attached))\b"
-#: Words of servers and operations, and of interaction, as alternatives in alphabetical order.
-BACKEND = r"(?i)\b(" + "|".join(sorted(["database", "migration", "sql", "postgres", "mysql", "mongo", "redis", "kafka", "rabbitmq", "kubernetes", "k8s", "docker", r"deploy(ment|ments|s|ed|ing)?", r"infra(structure)?", "terraform", "cron", "job queue", "background job", "worker", "latency", "throughput", "memory leak", "cpu usage", r"rate[- ]?limit(ing|ed)?", "webhook", r"ci/cd", "pipeline", "nginx", "load balancer", r"env(ironment)? variable", "api gateway", "microservice", "502", "503", "504", "gateway timeout", "connection pool", r"index(ing)? (the )?table"])) + r")\b"
-BEHAVIOUR = r"(?i)\b(" + "|".join(sorted(["nothing happens", r"does(n'?t| not) (work|respond|do anything|fire|trigger|navigate|submit|save|load|open|close)", r"no (effect|reaction|response)", "not working", "unresponsive", r"isn'?t working", r"won'?t (close|load|open|save|submit|work)", r"(after|when) (i |you |we )?(click|press|tap|submit|hit)", r"clicking .* (does|has) "])) + r")\b"
+#: Words of servers and operations, and of interaction.
+_BACKEND = [
+    "502", "503", "504", "api gateway", "background job", "connection pool", r"ci/cd", "cpu usage", "cron", "database",
+    r"deploy(ed|ing|ments?|s)?", "docker", r"env(ironment)? variable", "gateway timeout", r"index(ing)? (the )?table",
+    r"infra(structure)?", "job queue", "k8s", "kafka", "kubernetes", "latency", "load balancer", "memory leak", "microservice",
+    "migration", "mongo", "mysql", "nginx", "pipeline", "postgres", "rabbitmq", r"rate[- ]?limit(ed|ing)?", "redis", "sql",
+    "terraform", "throughput", "webhook", "worker",
+]
+_ACTS = "|".join(sorted(("work", "save", "open", "load", "close", "submit", "navigate", "trigger", "fire", "respond", "do anything")))
+_TRIES = "|".join(("hit", "submit", "tap", "press", "click"))
+_BEHAVIOUR = [
+    "not working", "nothing happens", "unresponsive", r"no (effect|reaction|response)", r"isn'?t working", rf"does( not|n'?t) ({_ACTS})",
+    r"won'?t (close|load|open|save|submit|work)", rf"(after|when) (i |we |you )?({_TRIES})", r"clicking .* (does|has) ",
+]
+BACKEND = r"(?i)\b(" + "|".join(_BACKEND) + r")\b"
+BEHAVIOUR = r"(?i)\b(" + "|".join(_BEHAVIOUR) + r")\b"
 
 
 def classify(text: Column, screenshots: Column, links: Column) -> Column:
