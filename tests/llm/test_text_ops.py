@@ -239,6 +239,21 @@ def test_simhash_counts_links_across_blocks(spark, monkeypatch):
     assert (simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).toPandas().n_links == 59).all()
 
 
+@pytest.mark.parametrize("n, depth", [(10_000, 1), (400_000, 2), (16_000_000, 3), (100_000_000, 4)])
+def test_simhash_recall_at_the_threshold_holds_at_every_depth(n, depth):
+    planned, repetitions = simhash.plan(n)
+    assert planned == depth
+    assert 1 - (1 - simhash.sharing(simhash.THRESHOLD, depth)) ** repetitions >= simhash.TARGET_RECALL
+    if depth < 4:
+        rng = np.random.default_rng(depth)
+        u = rng.integers(0, 1 << 63, (1000, 4)).astype(np.uint64)
+        flip = np.zeros((1000, simhash.BITS), np.uint8)
+        for row in flip:
+            row[rng.choice(simhash.BITS, simhash.THRESHOLD, replace=False)] = 1
+        v = u ^ np.packbits(flip, axis=1).view(np.uint64)
+        assert (simhash._first_list(u, v, depth, repetitions) >= 0).mean() > 0.965
+
+
 # --- op10 ---------------------------------------------------------------------------------------------
 
 

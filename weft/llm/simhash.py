@@ -7,8 +7,8 @@ prose means that they share more than about half of their word 4-grams.
 Search: a repetition draws a random order of the bits and cuts strips from it. On each strip a set of
 random centres filters the fingerprints: those of low partial weight (after xor with the centre) go
 into the centre's list, and each list is filtered again on the next strip, until lists are small; those
-are compared by brute force. Repetitions are added until a pair at the design distance shares a list
-with the target probability. Equal fingerprints are first folded into one row with a count.
+are compared by brute force. Repetitions are added until a pair at the threshold shares a list with the
+target probability, at any depth. Equal fingerprints are first folded into one row with a count.
 
 Scale: a map makes the fingerprints; lists are buckets of a shuffle, of 48 bytes a row; a list that is
 too long for one block is split into pairs of blocks. A pair counts only in the first list that it
@@ -33,8 +33,7 @@ from . import common, links
 
 BITS = 256
 THRESHOLD = 54
-DESIGN = 44  # distance for which TARGET_RECALL is planned; nearer pairs are found more surely
-TARGET_RECALL = 0.98
+TARGET_RECALL = 0.98  # planned at the threshold itself, whatever the depth; nearer pairs are found more surely
 STRIP = 32
 WEIGHT = 10  # most partial weight on a strip
 CENTRES = 64
@@ -92,26 +91,43 @@ def passing(weight: int, strip: int) -> float:
     return sum(comb(strip, w) for w in range(weight + 1)) / 2.0**strip
 
 
-def both_passing(distance: int) -> float:
-    """Probability that both sides of a pair at this distance pass a centre's filter on one strip."""
-    d, total = distance / BITS, 0.0
-    for w in range(WEIGHT + 1):
-        p = comb(STRIP, w) / 2.0**STRIP
-        inside = 0.0
-        for off in range(w + 1):  # of the w bits that differ from the centre, so many turn
-            for on in range(STRIP - w + 1):
-                if w - off + on <= WEIGHT:
-                    inside += comb(w, off) * d**off * (1 - d) ** (w - off) * comb(STRIP - w, on) * d**on * (1 - d) ** (STRIP - w - on)
-        total += p * inside
-    return total
+def meeting(differing: int) -> float:
+    """Probability that some centre of a level passes both sides of a pair that differs in so many bits of its strip."""
+    alike = STRIP - differing
+    ways = sum(comb(differing, x) * comb(alike, y) for x in range(differing + 1) for y in range(alike + 1) if max(x, differing - x) + y <= WEIGHT)
+    return 1 - (1 - ways / 2.0**STRIP) ** CENTRES
 
 
 @lru_cache
-def plan(n: int) -> tuple[int, int]:
+def sharing(distance: int, depth: int) -> float:
+    """Probability that a pair at this distance shares a list of one repetition.
+
+    The strips of a repetition are cut from one order of the bits, so their differing bits are drawn without
+    replacement; all centres of a level see the same ones.
+    """
+    level = [meeting(k) for k in range(STRIP + 1)]
+
+    @lru_cache(maxsize=None)
+    def rest(left: int, bits: int, levels: int) -> float:
+        if not levels:
+            return 1.0
+        most = min(left, STRIP)
+        return sum(comb(left, k) * comb(bits - left, STRIP - k) / comb(bits, STRIP) * level[k] * rest(left - k, bits - STRIP, levels - 1) for k in range(most + 1) if STRIP - k <= bits - left)
+
+    return rest(distance, BITS, depth)
+
+
+@lru_cache
+def repetitions_of(depth: int, threshold: int = THRESHOLD) -> int:
+    """Repetitions until a pair at the threshold shares a list with TARGET_RECALL."""
+    return ceil(log(1 - TARGET_RECALL) / log(1 - sharing(threshold, depth)))
+
+
+@lru_cache
+def plan(n: int, threshold: int = THRESHOLD) -> tuple[int, int]:
     """Depth of the recursion and number of repetitions for n fingerprints."""
     depth = max(1, min(BITS // STRIP, ceil(log(max(n, 2) / LIST) / log(1 / passing(WEIGHT, STRIP))))) if n > LIST else 1
-    level = 1 - (1 - both_passing(DESIGN)) ** CENTRES  # some centre of a level passes both
-    return depth, ceil(log(1 - TARGET_RECALL) / log(1 - level**depth))
+    return depth, repetitions_of(depth, threshold)
 
 
 @lru_cache
@@ -182,7 +198,7 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFra
     names = [f"f{k}" for k in range(BITS // 64)]
     prints = common.durable(fingerprint(documents))
     classes = common.durable(prints.groupBy(*names).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
-    depth, repetitions = plan(classes.count())
+    depth, repetitions = plan(classes.count(), threshold)
 
     def spread(batches):
         for batch in batches:
