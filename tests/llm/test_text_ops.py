@@ -254,6 +254,23 @@ def test_simhash_recall_at_the_threshold_holds_at_every_depth(n, depth):
         assert (simhash._first_list(u, v, depth, repetitions) >= 0).mean() > 0.965
 
 
+def test_keep_one_with_null_and_shared_ids(spark):
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 200))
+    alone, other, third, base = text(), text(), text(), text()
+    near = base + " more"
+    rows = [(None, alone, "a"), (None, alone, "a"), (5, other, "b"), (5, third, "c"), (None, base, "d"), (9, near, "e"), (None, None, "f"), (None, text() + " z", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key string")
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.row_key for r in got.collect()) == ["a", "b", "c", "e", "f", "g"]
+    report = simhash.near_duplicates(docs).toPandas()
+    assert len(report) == len(rows) and report.kept.notna().all() and report.kept.sum() == 7
+    assert sorted(report.n_links) == [0, 0, 0, 0, 1, 1, 1, 1]
+    clash = spark.createDataFrame([(3, base, "d"), (3, near, "e")], "doc_id long, text string, row_key string")
+    assert simhash.keep_one(clash).count() == 1
+
+
 # --- op10 ---------------------------------------------------------------------------------------------
 
 

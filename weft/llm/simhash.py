@@ -16,7 +16,8 @@ shares, which either side's fingerprint tells, so links are counted without bein
 returns a count and a local root per row. Depth grows with the logarithm of the number of rows.
 
 Defined cases: a null text counts as empty; texts without words link only to equal texts; a repeated
-row links to its twin; no rows give no rows; columns other than doc_id and text are ignored.
+row links to its twin; a null doc_id comes after all ids, and rows of one id are apart where their texts
+are; no rows give no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, links
@@ -182,22 +183,37 @@ def _columns(table: pa.Table) -> np.ndarray:
 
 
 def fingerprint(documents: DataFrame) -> DataFrame:
+    """(doc_id, row_key, f0, f1, ...): row_key is a hash of id and text, equal for repeated rows."""
     names = [f"f{k}" for k in range(BITS // 64)]
 
     def make(batches):
         for batch in batches:
             prints = fingerprints(*common.utf8(batch.column("text"))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *[pa.array(np.ascontiguousarray(prints[:, k])) for k in range(len(names))]], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("row_key"), *[pa.array(np.ascontiguousarray(prints[:, k])) for k in range(len(names))]], ["doc_id", "row_key", *names])
 
-    return documents.select("doc_id", "text").mapInArrow(make, "doc_id long, " + ", ".join(f"{c} long" for c in names))
+    return documents.select("doc_id", "text", _row_key()).mapInArrow(make, "doc_id long, row_key long, " + ", ".join(f"{c} long" for c in names))
+
+
+def _row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.lit(0), "text").alias("row_key")
 
 
 def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id (least id of the same fingerprint), n_links (other
-    documents within the threshold, copies included), component_id (least id reachable), kept."""
+    documents within the threshold, copies included), component_id (least id reachable), kept.
+
+    class_id and component_id are null where no document of theirs has an id. Of each component one
+    document is kept, and its repeated rows with it.
+    """
+    return _judged(documents, threshold).drop("row_key")
+
+
+def _judged(documents: DataFrame, threshold: int) -> DataFrame:
     names = [f"f{k}" for k in range(BITS // 64)]
     prints = common.durable(fingerprint(documents))
-    classes = common.durable(prints.groupBy(*names).agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
+    # ids may be null or shared, so classes have numbers of their own; ids decide only which row comes first
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key"))
+    classes = common.durable(prints.groupBy(*names).agg(first.alias("first"), F.count("*").alias("copies")).withColumn("class", F.monotonically_increasing_id()))
     depth, repetitions = plan(classes.count(), threshold)
 
     def spread(batches):
@@ -208,13 +224,13 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFra
                 taken = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(path), *taken.columns], ["list", *batch.schema.names])
 
-    kinds = "class_id long, copies long, " + ", ".join(f"{c} long" for c in names)
-    spreaded = classes.select("class_id", "copies", *names).mapInArrow(spread, "list long, " + kinds)
+    kinds = "class long, copies long, " + ", ".join(f"{c} long" for c in names)
+    spreaded = classes.select("class", "copies", *names).mapInArrow(spread, "list long, " + kinds)
 
     def compare(batches):
         for table, starts in links.groups(batches, ["list", "bi", "bj"]):
             own = _columns(table)
-            ids, copies, path = (table.column(c).to_numpy() for c in ("class_id", "copies", "list"))
+            ids, copies, path = (table.column(c).to_numpy() for c in ("class", "copies", "list"))
             cross = (table.column("bi").to_numpy() != table.column("bj").to_numpy())[starts[:-1]]
             found = []
             for a, b in links.pairs(starts, table.column("own").to_numpy(), cross):
@@ -235,25 +251,31 @@ def near_duplicates(documents: DataFrame, threshold: int = THRESHOLD) -> DataFra
                     np.add.at(degree, b, copies[a])
                     node, root = links.forest(ids[a], ids[b])
                     linked = np.flatnonzero(degree)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(root[np.searchsorted(node, ids[linked])]), pa.array(degree[linked])], ["class_id", "root", "degree"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(root[np.searchsorted(node, ids[linked])]), pa.array(degree[linked])], ["class", "root", "degree"])
 
-    met = links.in_blocks(spreaded, ["list"], "class_id")
-    found = met.repartition("list", "bi", "bj").sortWithinPartitions("list", "bi", "bj").mapInArrow(compare, "class_id long, root long, degree long")
-    found = common.durable(found.groupBy("class_id", "root").agg(F.sum("degree").alias("degree")))
-    component = links.components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
-    degree = found.groupBy("class_id").agg(F.sum("degree").alias("degree"))
-    whole = classes.join(degree, "class_id", "left").join(component.withColumnRenamed("node", "class_id"), "class_id", "left")
-    whole = whole.select(*names, "class_id", (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
-    return prints.join(whole, names).select("doc_id", "class_id", "n_links", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    met = links.in_blocks(spreaded, ["list"], "class")
+    found = met.repartition("list", "bi", "bj").sortWithinPartitions("list", "bi", "bj").mapInArrow(compare, "class long, root long, degree long")
+    found = common.durable(found.groupBy("class", "root").agg(F.sum("degree").alias("degree")))
+    component = links.components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")
+    degree = found.groupBy("class").agg(F.sum("degree").alias("degree"))
+    leader = component.join(classes.select("class", "first"), "class").groupBy("component").agg(F.min("first").alias("leader"))
+    linked = component.join(leader, "component").select("class", "leader")
+    whole = classes.join(degree, "class", "left").join(linked, "class", "left").withColumn("leader", F.coalesce("leader", "first"))
+    whole = whole.select(*names, F.col("first.doc_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("n_links"), F.col("leader.doc_id").alias("component_id"), F.col("leader.row_key").alias("leader_key"))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("row_key") == F.col("leader_key"))
+    return prints.join(whole, names).select("doc_id", "row_key", "class_id", "n_links", "component_id", kept.alias("kept"))
 
 
 def keep_one(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The documents with the least id of each group, with all their columns; a repeated row stays once."""
-    kept = near_duplicates(documents, threshold).where("kept").select("doc_id")
-    once = common.durable(kept.groupBy("doc_id").agg(F.count("*").alias("weft_rows")))
-    out = documents.join(once.select("doc_id"), "doc_id", "left_semi")
+    """The first document of each group, with all its columns: that of the least id, nulls last, and of
+    the least key of its row where ids are equal; a repeated row stays once."""
+    kept = _judged(documents, threshold).where("kept").select(F.col("doc_id").alias("weft_id"), F.col("row_key").alias("weft_key"))
+    once = common.durable(kept.groupBy("weft_id", "weft_key").agg(F.count("*").alias("weft_rows")))
+    keyed = documents.withColumn("weft_row", _row_key())
+    same = (F.col("weft_row") == F.col("weft_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("weft_id"))
+    out = keyed.join(once.select("weft_id", "weft_key"), same, "left_semi")
     if not once.where("weft_rows > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
+        out = out.dropDuplicates(["doc_id", "weft_row"])
     return out.select(*documents.columns)
 
 
