@@ -5,6 +5,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from weft.llm import dom, queries, rabitq, urls
 
 SF = "/root/testdata/sf0.001"
@@ -62,6 +63,22 @@ def test_bloom_has_no_false_negatives(spark):
     assert urls.possible(words, hashes(5000, 10000)).mean() < 0.02
 
 
+def test_spread_list_decides_pages_that_no_rule_does(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    listed = urls.spread_listing(pages)
+    for bits in (urls.MOST_BITS, 512):
+        got = urls.judge(pages, listed, most_bits=bits).toPandas().sort_values("page_id").reset_index(drop=True)
+        want = by_sql(urls.OP8_SPREAD_SQL, pages=pages.toArrow()).sort_values("page_id").reset_index(drop=True)
+        assert got.fillna("-").astype(str).equals(want.fillna("-").astype(str))
+    by_list = got[got["rule"].isna() & (got.verdict == "block")]
+    assert len(by_list) >= 100
+    words = urls.bloom(listed.distinct(), 512)
+    clean = got[got["rule"].isna() & (got.verdict == "allow")].page_id.tolist()
+    form = urls.canonical(urls.host_of(F.col("url")), urls.path_of(F.col("url")))
+    hashes = np.array([r[0] for r in pages.where(F.col("page_id").isin(clean)).select(F.xxhash64(form)).collect()])
+    assert urls.possible(words, hashes).any()  # false positives, which the join removed
+
+
 def test_pages_held_out():
     model, rng, right = dom.train(), random.Random(123), 0
     for _ in range(200):

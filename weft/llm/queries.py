@@ -13,9 +13,10 @@ QUERIES = {
     "op6_merges": merges.op6_merges,
     "op7_simhash": simhash.op7_simhash,
     "op8_urls": urls.op8_urls,
+    "op8_spread": urls.op8_spread,
     "op9_dom": dom.op9_dom,
     "op10_quality": quality.op10_quality,
 }
 
 #: The others hash, learn, search or code in ways that SQL can't express; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op2_rabitq": rabitq.OP2_SQL, "op8_urls": urls.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_rabitq": rabitq.OP2_SQL, "op8_urls": urls.OP8_SQL, "op8_spread": urls.OP8_SPREAD_SQL}

@@ -25,6 +25,9 @@ from . import common
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Hosts of which the query lists every canonical URL in the table.
 LISTED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com")
+#: ``op8_spread`` lists the canonical URLs of hosts with such a label, under any domain, and of all hosts those with such an end.
+SPAM_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_END = "7"
 BLOCK_BITS = 512
 PROBES = 8
 BITS_PER_URL = 12
@@ -122,14 +125,29 @@ def listing(pages: DataFrame, hosts=LISTED_HOSTS) -> DataFrame:
     return pages.where(mine).select(canonical(host, path).alias("url"))
 
 
+def spread_listing(pages: DataFrame, names=SPAM_NAMES, end: str = LISTED_END) -> DataFrame:
+    """Canonical URLs of the pages of hosts with such a label, under any domain, and those that end so."""
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
+    return pages.where(host.rlike(_labels(names)) | canonical(host, path).endswith(end)).select(canonical(host, path).alias("url"))
+
+
+def _labels(names) -> str:
+    return rf"(^|\.)({'|'.join(names)})\."
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages")
     return judge(pages, listing(pages))
 
 
+def op8_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages")
+    return judge(pages, spread_listing(pages))
+
+
 _FITS = lambda h, p: f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))"
 _BY_LENGTH = sorted(RULES, key=lambda x: -len(x[0] + x[1]))
-OP8_SQL = f"""
+_sql = lambda listed: f"""
 with rest as (
   select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as r from pages
 ), split as (
@@ -140,8 +158,10 @@ with rest as (
     regexp_replace(host, '^www\\.', '') || regexp_replace(path, '(/|\\.html)$', '') as canonical
   from split
 ), listed as (
-  select distinct canonical from ruled where {' or '.join(f"host = '{h}' or ends_with(host, '.{h}')" for h in LISTED_HOSTS)}
+  select distinct canonical from ruled where {listed}
 )
 select page_id, host, path, rule, coalesce(by_rule, case when canonical in (select canonical from listed) then 'block' else 'allow' end) as verdict
 from ruled
-"""
+"""
+OP8_SQL = _sql(" or ".join(f"host = '{h}' or ends_with(host, '.{h}')" for h in LISTED_HOSTS))
+OP8_SPREAD_SQL = _sql(f"regexp_matches(host, '{_labels(SPAM_NAMES)}') or ends_with(canonical, '{LISTED_END}')")
