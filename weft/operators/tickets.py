@@ -31,10 +31,15 @@ def classify(text: Column, screenshots: Column, links: Column) -> Column:
     return F.when(video, "unsupported").when(F.coalesce(screenshots, F.lit(0)) > 0, "visual").when(F.regexp_like(text, F.lit(BACKEND)), "out-of-domain").when(F.regexp_like(text, F.lit(BEHAVIOUR)), "behavioral").otherwise("textual")
 
 
+#: \b and \s as JavaScript reads them: words are ASCII, spaces are not only ASCII.
+_EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+_SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
 def terms(text: Column) -> Column:
     """Quoted phrases; else runs of up to four capitalised words; else the whole text."""
     quoted = F.filter(F.regexp_extract_all(text, F.lit("[\"'`]([^\"'`]{2,})[\"'`]"), F.lit(1)), lambda t: F.length(F.trim(t)) > 1)
-    named = F.filter(F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z0-9]+){0,3})\b"), F.lit(1)), lambda t: F.length(t) > 2)
+    named = F.filter(F.regexp_extract_all(text, F.lit(rf"{_EDGE}([A-Z][a-z]+(?:{_SPACE}+[A-Z][a-z0-9]+){{0,3}}){_EDGE}"), F.lit(1)), lambda t: F.length(t) > 2)
     return F.when(F.size(quoted) > 0, quoted).when(F.size(named) > 0, named).otherwise(F.array(text))
 
 

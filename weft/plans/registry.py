@@ -387,6 +387,16 @@ def ticket_terms(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(tickets.terms(plain), "|").alias("terms"))
 
 
+_WIDE_SPACE = r"[\t\n\v\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+@query(rf"""with t as (select conv_id, turn, text, list_filter(regexp_extract_all(text, '["''`]([^"''`]{{2,}})["''`]', 1), lambda x: length(trim(x)) > 1) as a,
+list_filter(regexp_extract_all(text, '\b([A-Z][a-z]+(?:{_WIDE_SPACE}+[A-Z][a-z0-9]+){{0,3}})\b', 1), lambda x: length(x) > 2) as b from conversations)
+select conv_id, turn, array_to_string(case when len(a) > 0 then a when len(b) > 0 then b else [text] end, '|') as terms from t""")
+def ticket_terms_whole(spark, sf_dir):
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(tickets.terms(F.col("text")), "|").alias("terms"))
+
+
 @query("""select source, doc_id, (ceil(length(text) / 4.0))::bigint as size, (sum(ceil(length(text) / 4.0)) over (partition by source order by doc_id))::bigint as used, (sum(ceil(length(text) / 4.0)) over (partition by source order by doc_id)) <= 4000 as fits from documents""")
 def token_budget(spark, sf_dir):
     sized = load(spark, sf_dir, "documents").select("source", "doc_id", tickets.tokens_of(F.col("text")).alias("size"))
