@@ -449,6 +449,12 @@ def locale_lookup(spark, sf_dir):
     return docs.groupBy(F.col("source").alias("key"), F.col("lang").alias("locale")).agg(F.max_by(F.substring("text", 1, 40), "doc_id").alias("text"))
 
 
+@query("select source as key, lang as locale, max_by(text, doc_id) as text from documents group by source, lang")
+def locale_texts(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents")
+    return docs.groupBy(F.col("source").alias("key"), F.col("lang").alias("locale")).agg(F.max_by("text", "doc_id").alias("text"))
+
+
 @query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type")
 def stream_events_count(spark, sf_dir):
     return streams.event_counts(spark, sf_dir)
