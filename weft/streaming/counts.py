@@ -1,4 +1,4 @@
-"""Files that arrive, counted as a stream and upserted as facts."""
+"""Files that arrive, counted as a stream and appended with their hash."""
 
 from __future__ import annotations
 
@@ -28,9 +28,9 @@ def _folder(sf_dir: str) -> str:
 
 
 def upsert_facts(spark: SparkSession, source: str, schema, facts: str, checkpoint: str, key: str = "file"):
-    """A stream of changed files (file, text): each batch replaces the facts of its files and recomputes nothing else.
+    """A stream of changed files (file, text): each batch appends their rows under their content hash.
 
-    parse is left to the caller by ``schema``: the files' rows themselves are the facts, by content hash.
+    Not yet an upsert: nothing is parsed or replaced, and a text that a file had before is passed over.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
