@@ -105,7 +105,9 @@ def spread(codes: np.ndarray, starts: np.ndarray, values: np.ndarray) -> tuple[n
     """Values of the rows named by codes, one after the other, and where each begins (n + 1); rows: starts and values."""
     size = np.diff(starts)[codes]
     ends = np.append(0, np.cumsum(size))
-    at = np.arange(ends[-1]) + np.repeat(starts[codes] - ends[:-1], size)
+    kind = np.int32 if max(ends[-1], len(values)) < 2**31 else np.int64
+    at = np.repeat((starts[codes] - ends[:-1]).astype(kind), size)
+    at += np.arange(ends[-1], dtype=kind)
     return values[at], ends
 
 
