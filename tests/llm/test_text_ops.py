@@ -1,9 +1,13 @@
 import collections
 import hashlib
+import io
+import random
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from weft.llm import merges, pieces, prefixes, quality, rangecoder, simhash, suffix, tiling
@@ -118,12 +122,52 @@ def test_contamination_in_any_order(spark, nothing):
 
 def test_coder_round_trips():
     rng = np.random.default_rng(0)
-    for n in (0, 1, 2047, 2048, 2049, 5000):
-        for most in (2, 300, 49408):
+    for n in (0, 1, 2, 2047, 2048, 2049, 5000):
+        for most in (2, 300, 49408, 1 << 20, 2**32):
             ids = np.minimum(rng.zipf(1.4, n), most - 1).astype(np.uint32)
-            assert (rangecoder.decode_blocks(rangecoder.encode_blocks(ids)) == ids).all()
+            ids[::7] = most - 1
+            one = np.full(1, n)
+            back = rangecoder.unpack(rangecoder.pack(one, one, ids))
+            assert back[1].tolist() == [n] and (back[2] == ids).all()
     ids = np.tile(np.arange(50), 200).astype(np.uint32)
-    assert sum(len(code) for *_, code in rangecoder.encode_blocks(ids)) < len(ids) // 2  # contexts repeat, so it must shrink
+    assert len(rangecoder.pack(np.arange(1), np.array([len(ids)]), ids)) < len(ids) // 3  # contexts repeat, so it must shrink
+
+
+def test_coder_round_trips_in_several_groups(monkeypatch):
+    monkeypatch.setattr(rangecoder, "LANES", 3)
+    ids = np.random.default_rng(1).integers(0, 90, 7 * rangecoder.BLOCK + 5).astype(np.uint32)
+    assert (rangecoder.unpack(rangecoder.pack(np.arange(1), np.array([len(ids)]), ids))[2] == ids).all()
+
+
+def test_coder_beats_the_entropy_of_single_ids():
+    import pyarrow.parquet as pq
+
+    text = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").combine_chunks()
+    ids, at = rangecoder.tokenize(text, public_tokenizers.path("word_bpe_49k.json"), 1)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    data = rangecoder.pack(np.arange(len(at) - 1), np.diff(at), ids)
+    assert len(data) * 8 / len(ids) < 0.9 * -(share * np.log2(share)).sum()
+    assert (rangecoder.unpack(data)[2] == ids).all()
+
+
+def test_words_are_cut_as_the_library_cuts_them():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(3)
+    parts = [*"abcXYZ019 '.,!?<|>_-\t\n\r\x0b\x1c\x1f\x85\xa0\u0301\u0130ſéÉàßµªİ漢字😀٣Ⅷ", "<|endoftext|>", "<|startoftext|>", " '", "don't", "I'LL", "\x00", "</w>", "Ñandú,"]
+    odd = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [None, ""]
+    ids, at = rangecoder.tokenize(odd, path, 1)
+    own = Tokenizer.from_file(path)
+    for x, a, b in zip(odd, at[:-1], at[1:]):
+        assert ids[a:b].tolist() == [*own.encode(x or "", add_special_tokens=False).ids, 1]
+
+
+def test_words_are_forgotten_beyond_a_bound(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = rangecoder.tokenize(["one two three", "four"], path, 1)[0].tolist()
+    monkeypatch.setattr(rangecoder, "REMEMBERED", 3)
+    assert rangecoder.tokenize(["one two three", "four"], path, 1)[0].tolist() == want
 
 
 def test_coder_notices_damage():
@@ -146,6 +190,31 @@ def test_files_read_back_as_the_library_encodes(spark, documents, texts, nothing
     assert rangecoder.round_trip(nothing, path).count() == 0
 
 
+def test_files_keep_null_ids(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(None, "a b"), (None, None), (3, "c"), (3, "c")], "doc_id long, text string")
+    got = sorted(map(tuple, rangecoder.round_trip(docs, path, str(tmp_path)).select("doc_id", "n_tokens").collect()), key=str)
+    assert got == sorted([(None, 3), (None, 1), (3, 2), (3, 2)], key=str)
+    files = [x for x in tmp_path.iterdir() if x.suffix == ".ids"]  # a folder that was named keeps its files
+    whole = max(files, key=lambda x: x.stat().st_size).read_bytes()
+    stream = io.BytesIO(whole[:-20])  # one that breaks off isn't taken for a short one
+    with pytest.raises((ValueError, struct.error, IndexError)):
+        while rangecoder.unpack(stream) is not None:
+            pass
+
+
+def test_files_of_several_segments(spark, documents, texts, monkeypatch, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    ids, at = rangecoder.tokenize(texts, path, 1)
+    parts = [rangecoder.pack(np.arange(a, b), np.diff(at)[a:b], ids[at[a] : at[b]]) for a, b in ((0, 5), (5, 6), (6, batch.num_rows))]
+    stream, found = io.BytesIO(b"".join(parts) + rangecoder.END), []
+    while (x := rangecoder.unpack(stream)) is not None:
+        found.append(x)
+    assert np.concatenate([x[0] for x in found]).tolist() == list(range(len(texts)))
+    assert (np.concatenate([x[2] for x in found]) == ids).all()
+
+
 # --- op5 and op6 ---------------------------------------------------------------------------------------
 
 
@@ -235,23 +304,53 @@ def test_simhash_counts_links_across_blocks(spark, monkeypatch):
     whole = simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).toPandas()
     assert (whole.n_links == 59).all() and (whole.component_id == 0).all()
     split = links.in_blocks
-    monkeypatch.setattr(simhash.links, "in_blocks", lambda rows, bucket, identity, block=7: split(rows, bucket, identity, 7))
+    monkeypatch.setattr(simhash.links, "in_blocks", lambda rows, sizes, bucket, identity, block: split(rows, sizes, bucket, identity, 7))
+    assert (simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).toPandas().n_links == 59).all()
+    monkeypatch.setattr(simhash.links, "SENT", 0)
     assert (simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).toPandas().n_links == 59).all()
 
 
-@pytest.mark.parametrize("n, depth", [(10_000, 1), (400_000, 2), (16_000_000, 3), (100_000_000, 4)])
-def test_simhash_recall_at_the_threshold_holds_at_every_depth(n, depth):
-    planned, repetitions = simhash.plan(n)
-    assert planned == depth
-    assert 1 - (1 - simhash.sharing(simhash.THRESHOLD, depth)) ** repetitions >= simhash.TARGET_RECALL
-    if depth < 4:
-        rng = np.random.default_rng(depth)
-        u = rng.integers(0, 1 << 63, (1000, 4)).astype(np.uint64)
-        flip = np.zeros((1000, simhash.BITS), np.uint8)
+@pytest.mark.parametrize("n", [10_000, 150_000, 1_000_000, 50_000_000])
+def test_simhash_recall_at_the_threshold_holds_at_every_size(n):
+    plan = simhash.plan(n)
+    share = simhash.sharing(simhash.THRESHOLD, plan.strip, plan.depth, plan.weight, plan.centres)
+    assert 1 - (1 - share) ** plan.repetitions >= simhash.TARGET_RECALL
+    if plan.repetitions < 1000:
+        rng = np.random.default_rng(n)
+        u = rng.integers(0, 1 << 63, (600, 4)).astype(np.uint64)
+        flip = np.zeros((600, simhash.BITS), np.uint8)
         for row in flip:
             row[rng.choice(simhash.BITS, simhash.THRESHOLD, replace=False)] = 1
         v = u ^ np.packbits(flip, axis=1).view(np.uint64)
-        assert (simhash._first_list(u, v, depth, repetitions) >= 0).mean() > 0.965
+        shared = np.zeros(600, bool)
+        for r in range(plan.repetitions):
+            shared |= (simhash.masks(u, r, plan) & simhash.masks(v, r, plan)).all(axis=1)
+        assert shared.mean() > 0.955
+
+
+@pytest.mark.parametrize("depth", [2, 3])
+def test_simhash_recall_of_the_recursion_against_all_pairs(spark, monkeypatch, depth):
+    """Queries: every row whose id is divisible by 50, against all rows, by brute force."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = simhash.Plan(64, depth, 26, 16, simhash.repetitions_of(64, depth, 26, 16))
+    monkeypatch.setattr(simhash, "plan", lambda n, threshold: own)
+    got = simhash.near_duplicates(documents).toPandas().set_index("doc_id").n_links
+    prints = simhash.fingerprint(documents).toPandas().set_index("doc_id")[[f"f{k}" for k in range(4)]]
+    x = prints.to_numpy().view(np.uint64)
+    asked = np.flatnonzero(prints.index.to_numpy() % 50 == 0)
+    want = (np.bitwise_count(x[asked, None] ^ x[None]).sum(axis=2) <= simhash.THRESHOLD).sum(axis=1) - 1
+    found = got.loc[prints.index[asked]].to_numpy()
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum() and want.sum()
+
+
+def test_components_of_a_long_path(spark):
+    from weft.llm import links
+
+    rng = np.random.default_rng(0)
+    for order in (np.arange(1000), rng.permutation(1000)):
+        edges = spark.createDataFrame([(int(a), int(b)) for a, b in zip(order[:-1], order[1:])], "a long, b long")
+        found = links.components(edges).toPandas()
+        assert len(found) == 1000 and (found.component == 0).all()
 
 
 def test_keep_one_with_null_and_shared_ids(spark):

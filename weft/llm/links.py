@@ -12,16 +12,23 @@ from pyspark.sql import functions as F
 from .common import durable
 
 BLOCK = 2048  # rows of a bucket that meet in one block
+SENT = 1 << 17  # large buckets that may go to every task: some MB
 
 
-def in_blocks(rows: DataFrame, bucket: list[str], identity: str, block: int = BLOCK) -> DataFrame:
+def in_blocks(rows: DataFrame, sizes: DataFrame, bucket: list[str], identity: str, block: int = BLOCK) -> DataFrame:
     """Rows with the pair of blocks (bi <= bj, own) in which they meet the rows of their bucket.
 
-    A bucket of up to ``block`` rows is one block. A larger one is cut into blocks by a hash, and each
-    pair of blocks is a group of its own, so no bucket has to fit into one task. Buckets of one row go.
+    sizes: rows of each bucket (bucket_n). A bucket of up to ``block`` rows is one block. A larger one is cut
+    into blocks by a hash, and each pair of blocks is a group of its own, so no bucket has to fit into one
+    task. The large buckets go to every task where there are at most SENT of them; more are joined.
     """
-    sizes = rows.groupBy(*bucket).agg(F.count("*").alias("bucket_n")).where("bucket_n > 1")
-    sized = rows.join(sizes, bucket).withColumn("blocks", F.ceil(F.col("bucket_n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64(identity), F.col("blocks")).cast("int"))
+    large = durable(sizes.where(F.col("bucket_n") > block))
+    n = large.count()
+    zero = F.lit(0)
+    if not n:
+        return rows.select("*", zero.alias("bi"), zero.alias("bj"), zero.alias("own"))
+    sized = rows.join(F.broadcast(large) if n <= SENT else large, bucket, "left")
+    sized = sized.withColumn("blocks", F.ceil(F.coalesce("bucket_n", F.lit(1)) / block).cast("int")).withColumn("own", F.pmod(F.xxhash64(identity), F.col("blocks")).cast("int"))
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(F.col("own"), other).alias("bi"), F.greatest(F.col("own"), other).alias("bj")))
     return sized.withColumn("met", F.explode(met)).select(*[c for c in rows.columns], F.col("met.bi").alias("bi"), F.col("met.bj").alias("bj"), "own")
 
@@ -100,19 +107,25 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) with the least node of its component, for the nodes of ``edges`` (a, b).
 
-    Each round hooks every node to its least neighbour and contracts; edges that fall together go.
+    Each round hooks every node to its least neighbour, follows the hooks to their ends by doubling, and
+    contracts; edges that fall together go. A path of n nodes takes some log n joins, whatever its order.
     """
     left = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     label = None
     while True:
-        hook = left.select(F.col("a").alias("node"), F.col("b").alias("to")).unionAll(left.select(F.col("b"), F.col("b"))).unionAll(left.select(F.col("b"), F.col("a"))).groupBy("node").agg(F.least(F.min("node"), F.min("to")).alias("to"))
+        # either end knows the other; the least of a node's neighbours and itself
+        hook = left.select(F.col("a").alias("node"), F.col("b").alias("to")).unionAll(left.select(F.col("b"), F.col("a"))).groupBy("node").agg(F.least("node", F.min("to")).alias("to"))
         hook = durable(hook)
+        while True:
+            further = hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("end")), "to")
+            if further.where(F.col("end") != F.col("to")).isEmpty():
+                break
+            hook = durable(further.select("node", F.col("end").alias("to")))
         if label is None:
             label = hook.select("node", F.col("to").alias("component"))
         else:
-            label = label.join(hook.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+            label = durable(label.join(hook.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
         up = left.join(hook.select(F.col("node").alias("a"), F.col("to").alias("ra")), "a").join(hook.select(F.col("node").alias("b"), F.col("to").alias("rb")), "b")
         left = durable(up.where("ra <> rb").select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct())
-        label = durable(label)
         if left.isEmpty():
             return label

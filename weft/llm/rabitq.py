@@ -23,6 +23,7 @@ from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,8 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 def _by_size(table, column: str = "embedding"):
     """Rows of each length of vector, as (rows, matrix)."""
-    sizes = np.array([len(x) for x in table.column(column).to_pylist()], np.int64)
+    own = table.column(column)
+    sizes = pc.list_value_length(own).to_numpy(zero_copy_only=False) if not isinstance(own, pa.ChunkedArray) else pc.list_value_length(own).to_numpy()
     for size in np.unique(sizes).tolist():
         own = np.flatnonzero(sizes == size)
         yield own, _matrix(table.column(column).take(pa.array(own)), size)
@@ -137,7 +139,8 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
                     linked = np.flatnonzero(degree)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(root[np.searchsorted(node, ids[linked])]), pa.array(degree[linked])], ["class_id", "root", "degree"])
 
-    met = links.in_blocks(spreaded.withColumn("bucket", bucket), ["bucket"], "class_id", 1024)
+    filed = spreaded.withColumn("bucket", bucket)
+    met = links.in_blocks(filed, filed.groupBy("bucket").agg(F.count("*").alias("bucket_n")), ["bucket"], "class_id", 1024)
     found = met.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj").mapInArrow(compare, "class_id long, root long, degree long")
     found = common.durable(found.groupBy("class_id", "root").agg(F.sum("degree").alias("degree")))
     component = links.components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))

@@ -10,10 +10,11 @@ into the centre's list, and each list is filtered again on the next strip, until
 are compared by brute force. Repetitions are added until a pair at the threshold shares a list with the
 target probability, at any depth. Equal fingerprints are first folded into one row with a count.
 
-Scale: a map makes the fingerprints; lists are buckets of a shuffle, of 48 bytes a row; a list that is
-too long for one block is split into pairs of blocks. A pair counts only in the first list that it
+Scale: a map makes the fingerprints; lists are buckets of one shuffle, of some 48 bytes a row, and a list that
+is too long for one block is split into pairs of blocks. A pair counts only in the first list that it
 shares, which either side's fingerprint tells, so links are counted without being written: each block
-returns a count and a local root per row. Depth grows with the logarithm of the number of rows.
+returns a count and a local root per row. The plan weighs rows of the shuffle against filtering and
+comparing, so lists, depth and repetitions grow as a power (some 0.35) of the number of fingerprints.
 
 Defined cases: a null text counts as empty; texts without words link only to equal texts; a repeated
 row links to its twin; a null doc_id comes after all ids, and rows of one id are apart where their texts
@@ -23,7 +24,8 @@ are; no rows give no rows; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 from functools import lru_cache
-from math import ceil, comb, log
+from math import ceil, comb, log, log1p
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,12 @@ from . import common, links
 BITS = 256
 THRESHOLD = 54
 TARGET_RECALL = 0.98  # planned at the threshold itself, whatever the depth; nearer pairs are found more surely
-STRIP = 32
-WEIGHT = 10  # most partial weight on a strip
-CENTRES = 64
-LIST = 256  # wanted length of the lists
+STRIPS = (64, 128)
+CENTRES = (4, 16, 64)
+#: What a row of the shuffle, an order of the bits, a word of a filter and a comparison cost, in nanoseconds;
+#: the plan costs least.
+ROW_NS, ORDER_NS, FILTER_NS, PAIR_NS = 1500.0, 250.0, 2.0, 6.0
+BLOCK = 8192  # rows of a list that meet in one block
 _SALT = common.mix(np.arange(1, BITS // 64 + 1, dtype=np.uint64))
 
 
@@ -88,96 +92,171 @@ def _some(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+class Plan(NamedTuple):
+    """Bits of a strip, strips one after the other, most partial weight on a strip, centres of a strip, repetitions."""
+
+    strip: int
+    depth: int
+    weight: int
+    centres: int
+    repetitions: int
+
+
 def passing(weight: int, strip: int) -> float:
     return sum(comb(strip, w) for w in range(weight + 1)) / 2.0**strip
 
 
-def meeting(differing: int) -> float:
-    """Probability that some centre of a level passes both sides of a pair that differs in so many bits of its strip."""
-    alike = STRIP - differing
-    ways = sum(comb(differing, x) * comb(alike, y) for x in range(differing + 1) for y in range(alike + 1) if max(x, differing - x) + y <= WEIGHT)
-    return 1 - (1 - ways / 2.0**STRIP) ** CENTRES
+@lru_cache(maxsize=None)
+def meeting(strip: int, weight: int, centres: int) -> tuple[float, ...]:
+    """For each number of bits in which a pair differs on a strip, the probability that some centre passes both."""
+    out = []
+    for differing in range(strip + 1):
+        below = np.append(0.0, np.cumsum([float(comb(strip - differing, y)) for y in range(strip - differing + 1)]))
+        room = [(x, min(weight - max(x, differing - x), strip - differing)) for x in range(differing + 1)]
+        both = sum(comb(differing, x) * below[m + 1] for x, m in room if m >= 0) / 2.0**strip
+        out.append(-np.expm1(centres * log1p(-min(both, 1 - 1e-16))))
+    return tuple(out)
 
 
-@lru_cache
-def sharing(distance: int, depth: int) -> float:
+@lru_cache(maxsize=None)
+def sharing(distance: int, strip: int, depth: int, weight: int, centres: int) -> float:
     """Probability that a pair at this distance shares a list of one repetition.
 
     The strips of a repetition are cut from one order of the bits, so their differing bits are drawn without
     replacement; all centres of a level see the same ones.
     """
-    level = [meeting(k) for k in range(STRIP + 1)]
+    level = meeting(strip, weight, centres)
 
     @lru_cache(maxsize=None)
     def rest(left: int, bits: int, levels: int) -> float:
         if not levels:
             return 1.0
-        most = min(left, STRIP)
-        return sum(comb(left, k) * comb(bits - left, STRIP - k) / comb(bits, STRIP) * level[k] * rest(left - k, bits - STRIP, levels - 1) for k in range(most + 1) if STRIP - k <= bits - left)
+        most = min(left, strip)
+        return sum(comb(left, k) * comb(bits - left, strip - k) / comb(bits, strip) * level[k] * rest(left - k, bits - strip, levels - 1) for k in range(most + 1) if strip - k <= bits - left)
 
     return rest(distance, BITS, depth)
 
 
-@lru_cache
-def repetitions_of(depth: int, threshold: int = THRESHOLD) -> int:
+def repetitions_of(strip: int, depth: int, weight: int, centres: int, threshold: int = THRESHOLD) -> int:
     """Repetitions until a pair at the threshold shares a list with TARGET_RECALL."""
-    return ceil(log(1 - TARGET_RECALL) / log(1 - sharing(threshold, depth)))
+    share = sharing(threshold, strip, depth, weight, centres)
+    return 1 << 62 if share < 1e-12 else 1 if share >= TARGET_RECALL else ceil(log(1 - TARGET_RECALL) / log1p(-share))
 
 
-@lru_cache
-def plan(n: int, threshold: int = THRESHOLD) -> tuple[int, int]:
-    """Depth of the recursion and number of repetitions for n fingerprints."""
-    depth = max(1, min(BITS // STRIP, ceil(log(max(n, 2) / LIST) / log(1 / passing(WEIGHT, STRIP))))) if n > LIST else 1
-    return depth, repetitions_of(depth, threshold)
+def rows_of(plan: Plan) -> float:
+    """Rows of the shuffle for a fingerprint."""
+    return plan.repetitions * (plan.centres * passing(plan.weight, plan.strip)) ** plan.depth
 
 
-@lru_cache
-def _draw(repetition: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng([7, repetition, depth])
-    return rng.permutation(BITS)[: STRIP * depth], rng.integers(0, 1 << STRIP, (depth, CENTRES), dtype=np.uint64).astype(np.uint32)
+def cost(plan: Plan, n: int) -> float:
+    """Nanoseconds that a fingerprint takes among n."""
+    rows = rows_of(plan)
+    filters = plan.repetitions * plan.depth * plan.centres * plan.strip / 64
+    return rows * ROW_NS + plan.repetitions * ORDER_NS + filters * FILTER_NS + rows * n * passing(plan.weight, plan.strip) ** plan.depth / 2 * PAIR_NS
 
 
-def masks(prints: np.ndarray, repetition: int, depth: int) -> np.ndarray:
+@lru_cache
+def plan(n: int, threshold: int = THRESHOLD) -> Plan:
+    """The plan that costs least for n fingerprints; n counts in steps of a quarter more."""
+    if n <= BLOCK:
+        return Plan(64, 1, 64, 1, 1)  # one small list, which needs no filter
+    n = int(1.25 ** ceil(log(n) / log(1.25)))
+    best = None
+    for strip in STRIPS:
+        for depth in range(1, BITS // strip + 1):
+            for weight in range(strip // 4, strip // 2):
+                if not 1 <= n * passing(weight, strip) ** depth <= BLOCK:
+                    continue
+                for centres in CENTRES:
+                    own = Plan(strip, depth, weight, centres, repetitions_of(strip, depth, weight, centres, threshold))
+                    if best is None or cost(own, n) < cost(best, n):
+                        best = own
+    return best
+
+
+@lru_cache(maxsize=1 << 12)
+def _draw(repetition: int, strip: int, depth: int, centres: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([7, repetition, strip, depth])
+    return rng.permutation(BITS)[: strip * depth], rng.integers(0, 1 << 64, (depth, centres, strip // 64), dtype=np.uint64)
+
+
+def masks(prints: np.ndarray, repetition: int, own: Plan) -> np.ndarray:
     """For each level the centres that a fingerprint passes, as bits: shape (rows, depth)."""
-    order, centres = _draw(repetition, depth)
+    order, centres = _draw(repetition, own.strip, own.depth, own.centres)
     bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1)
-    strips = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(np.uint32).reshape(len(prints), depth)
-    out = np.zeros((len(prints), depth), np.uint64)
-    for level in range(depth):
-        low = np.bitwise_count(strips[:, level, None] ^ centres[level][None]) <= WEIGHT
+    strips = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(np.uint64).reshape(len(prints), own.depth, own.strip // 64)
+    out = np.zeros((len(prints), own.depth), np.uint64)
+    for level in range(own.depth):
+        far = np.zeros((len(prints), own.centres), np.uint16)
+        for word in range(own.strip // 64):
+            far += np.bitwise_count(strips[:, level, word, None] ^ centres[level, :, word])
+        low = np.zeros((len(prints), 64), bool)
+        low[:, : own.centres] = far <= own.weight
         out[:, level] = np.ascontiguousarray(np.packbits(low, axis=1, bitorder="little")).view(np.uint64).reshape(-1)
     return out
 
 
-def lists(prints: np.ndarray, repetition: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def lists(prints: np.ndarray, repetition: int, own: Plan) -> tuple[np.ndarray, np.ndarray]:
     """(row, list) for each list of this repetition that a row ends in."""
-    mask = masks(prints, repetition, depth)
+    mask = masks(prints, repetition, own)
     row = np.arange(len(prints))
     path = np.full(len(prints), repetition, np.int64)
-    for level in range(depth):
+    for level in range(own.depth):
         inside = np.unpackbits(np.ascontiguousarray(mask[row, level]).view(np.uint8).reshape(len(row), 8), axis=1, bitorder="little")
         at, centre = np.nonzero(inside)
-        row, path = row[at], path[at] * CENTRES + centre
+        row, path = row[at], path[at] * own.centres + centre
     return row, path
 
 
-def _first_list(u: np.ndarray, v: np.ndarray, depth: int, repetitions: int) -> np.ndarray:
-    """The first list that both share, -1 if none; u and v: fingerprints of the pairs."""
-    out = np.full(len(u), -1, np.int64)
-    for r in range(repetitions):
-        todo = np.flatnonzero(out < 0)
+def _first_here(prints: np.ndarray, a: np.ndarray, b: np.ndarray, path: int, own: Plan) -> np.ndarray:
+    """Whether ``path`` is the first list that both rows of each pair share; each row is filtered once a repetition."""
+    here = path // own.centres**own.depth
+    todo = np.arange(len(a))
+    place = np.zeros(len(prints), np.int64)
+    for r in range(here + 1):
         if not len(todo):
             break
-        common_ = masks(u[todo], r, depth) & masks(v[todo], r, depth)
-        hit = (common_ != 0).all(axis=1)
-        low = np.bitwise_count((common_[hit] & (~common_[hit] + np.uint64(1))) - np.uint64(1)).astype(np.int64)
-        path = np.full(int(hit.sum()), r, np.int64)
-        for level in range(depth):
-            path = path * CENTRES + low[:, level]
-        out[todo[hit]] = path
+        some = np.zeros(len(prints), bool)
+        some[a[todo]] = some[b[todo]] = True
+        rows = np.flatnonzero(some)
+        place[rows] = np.arange(len(rows))
+        mask = masks(prints[rows], r, own)
+        both = mask[place[a[todo]]] & mask[place[b[todo]]]
+        hit = (both != 0).all(axis=1)
+        if r < here:
+            todo = todo[~hit]
+            continue
+        low = np.bitwise_count((both & (~both + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+        first = np.full(len(todo), r, np.int64)
+        for level in range(own.depth):
+            first = first * own.centres + low[:, level]
+        todo = todo[hit & (first == path)]
+    out = np.zeros(len(a), bool)
+    out[todo] = True
     return out
 
 
+def _near(own: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the threshold of rows of left and right; same: both are one list, of which each pair counts once."""
+    found = [(left[:0], left[:0])]
+    step, words = max(1, (1 << 17) // max(1, len(right))), own.shape[1]
+    x, y = np.ascontiguousarray(own[left].T), np.ascontiguousarray(own[right].T)
+    for k in range(0, len(left), step):
+        low = k if same else 0
+        far = np.zeros((len(x[0, k : k + step]), y.shape[1] - low), np.uint8)
+        for word in range(min(2, words)):
+            far += np.bitwise_count(x[word, k : k + step, None] ^ y[word, low:])
+        i, j = np.nonzero(far <= threshold)
+        total = far[i, j].astype(np.int16)
+        i, j = i + k, j + low
+        for word in range(2, words):
+            total += np.bitwise_count(x[word, i] ^ y[word, j])
+        near = (total <= threshold) & (i < j) if same else total <= threshold
+        found.append((left[i[near]], right[j[near]]))
+    a, b = (np.concatenate(z) for z in zip(*found))
+    return a, b
+
+
 def _columns(table: pa.Table) -> np.ndarray:
     return np.stack([table.column(f"f{k}").to_numpy().view(np.uint64) for k in range(BITS // 64)], axis=1)
 
@@ -214,18 +293,26 @@ def _judged(documents: DataFrame, threshold: int) -> DataFrame:
     # ids may be null or shared, so classes have numbers of their own; ids decide only which row comes first
     first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row_key"))
     classes = common.durable(prints.groupBy(*names).agg(first.alias("first"), F.count("*").alias("copies")).withColumn("class", F.monotonically_increasing_id()))
-    depth, repetitions = plan(classes.count(), threshold)
+    chosen = plan(classes.count(), threshold)
 
     def spread(batches):
         for batch in batches:
             own = _columns(batch)
-            for r in range(repetitions):
-                row, path = lists(own, r, depth)
+            for r in range(chosen.repetitions):
+                row, path = lists(own, r, chosen)
                 taken = batch.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(path), *taken.columns], ["list", *batch.schema.names])
 
+    def lengths(batches):
+        for batch in batches:
+            own = _columns(batch)
+            for r in range(chosen.repetitions):
+                path, n = np.unique(lists(own, r, chosen)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(n)], ["list", "n"])
+
     kinds = "class long, copies long, " + ", ".join(f"{c} long" for c in names)
     spreaded = classes.select("class", "copies", *names).mapInArrow(spread, "list long, " + kinds)
+    sizes = classes.select(*names).mapInArrow(lengths, "list long, n long").groupBy("list").agg(F.sum("n").alias("bucket_n"))
 
     def compare(batches):
         for table, starts in links.groups(batches, ["list", "bi", "bj"]):
@@ -233,27 +320,25 @@ def _judged(documents: DataFrame, threshold: int) -> DataFrame:
             ids, copies, path = (table.column(c).to_numpy() for c in ("class", "copies", "list"))
             cross = (table.column("bi").to_numpy() != table.column("bj").to_numpy())[starts[:-1]]
             found = []
-            for a, b in links.pairs(starts, table.column("own").to_numpy(), cross):
-                far = np.bitwise_count(own[a, 0] ^ own[b, 0]).astype(np.int16)
-                for k in range(1, BITS // 64):
-                    near = far <= threshold
-                    a, b, far = a[near], b[near], far[near]
-                    far = far + np.bitwise_count(own[a, k] ^ own[b, k])
-                near = far <= threshold
-                a, b = a[near], b[near]
-                mine = _first_list(own[a], own[b], depth, repetitions) == path[a]
+            side, bi = table.column("own").to_numpy(), table.column("bi").to_numpy()
+            for k, (first, end) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist())):
+                left = right = np.arange(first, end)
+                if cross[k]:
+                    left, right = left[side[left] == bi[first]], right[side[right] != bi[first]]
+                a, b = _near(own, left, right, threshold, not cross[k])
+                if not len(a):
+                    continue
+                mine = _first_here(own[first:end], a - first, b - first, int(path[first]), chosen)
                 found.append((a[mine], b[mine]))
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found))
                 if len(a):
-                    degree = np.zeros(len(ids), np.int64)
-                    np.add.at(degree, a, copies[b])
-                    np.add.at(degree, b, copies[a])
+                    degree = (np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))).astype(np.int64)
                     node, root = links.forest(ids[a], ids[b])
                     linked = np.flatnonzero(degree)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(root[np.searchsorted(node, ids[linked])]), pa.array(degree[linked])], ["class", "root", "degree"])
 
-    met = links.in_blocks(spreaded, ["list"], "class")
+    met = links.in_blocks(spreaded, sizes, ["list"], "class", BLOCK)
     found = met.repartition("list", "bi", "bj").sortWithinPartitions("list", "bi", "bj").mapInArrow(compare, "class long, root long, degree long")
     found = common.durable(found.groupBy("class", "root").agg(F.sum("degree").alias("degree")))
     component = links.components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")
