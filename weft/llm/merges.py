@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from . import common, pieces
 
 NONE = np.iinfo(np.int32).max
+STEP = 6 << 20  # characters whose words are replayed together
 
 
 def _distinct(x: np.ndarray) -> np.ndarray:
@@ -208,7 +209,7 @@ def encode(documents: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataF
     def run(batches):
         own = ranks(path)
         for batch in batches:
-            for first, texts in pieces.text_steps(batch.column("text").to_pylist()):
+            for first, texts in pieces.text_steps(batch.column("text").to_pylist(), STEP):
                 ids, starts = own.texts(texts)
                 rows = batch.slice(first, len(texts))
                 lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
@@ -241,7 +242,7 @@ def digests(documents: DataFrame, path: str) -> DataFrame:
         own = ranks(path)
         decimal = [str(k) for k in range(max(own.bytes) + 1)]
         for batch in batches:
-            for first, texts in pieces.text_steps(batch.column("text").to_pylist()):
+            for first, texts in pieces.text_steps(batch.column("text").to_pylist(), STEP):
                 ids, starts = own.texts(texts)
                 data, at = own.decode(ids, starts)
                 raw = data.tobytes()
