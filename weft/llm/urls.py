@@ -4,8 +4,9 @@ A URL's verdict is that of the longest rule that fits it, else block if its cano
 else allow. Listed URLs set 8 bits within one 512-bit block of the filter; pages whose bits are not all
 set can't be listed; the rest meet the list in a hash join, which removes the false positives.
 
-Scale: the filter has at most MOST_BITS bits whatever the list, so it may be sent to every task; with a
-longer list only its false positives grow, never the result. Only possible hits are shuffled.
+Scale: the filter grows with the list up to MOST_BITS (32 MB, some 22 million URLs at 1 in 100 false
+positives), so it may be sent to every task; with a longer list only its false positives grow, never the
+result. Only possible hits are shuffled, each URL's over SALTS keys.
 
 Defined cases: a null URL or one without :// has empty host and path, fits no rule and is allowed; no
 pages give no rows, an empty list blocks nothing; repeated rows repeat; other columns are ignored.
@@ -23,15 +24,14 @@ from pyspark.sql import functions as F
 from . import common
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Hosts of which the query lists every canonical URL in the table.
-LISTED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com")
-#: ``op8_spread`` lists the canonical URLs of hosts with such a label, under any domain, and of all hosts those with such an end.
+#: The query lists the canonical URLs of hosts with such a label, under any domain, and of all hosts those with such an end.
 SPAM_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 LISTED_END = "7"
 BLOCK_BITS = 512
 PROBES = 8
 BITS_PER_URL = 12
-MOST_BITS = 1 << 26
+MOST_BITS = 1 << 28
+SALTS = 8  # keys of a listed URL in the join
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -50,7 +50,7 @@ def _rest(url: Column) -> Column:
 
 def canonical(host: Column, path: Column) -> Column:
     """Host without www., path without a last / or .html; scheme, query and fragment don't count."""
-    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"(/|\.html)$", ""))
+    return F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, r"(/|\.html)\z", ""))
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -112,20 +112,14 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, most_bits: int = MOS
     ruled = split.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), canonical(F.col("host"), F.col("path")).alias("canonical"))
     sifted = ruled.withColumn("maybe", F.col("by_rule").isNull() & maybe(F.xxhash64("canonical")))
     clear = sifted.where(~F.col("maybe")).select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"))
-    hits = sifted.where("maybe").join(listed.select(F.col("url").alias("canonical"), F.lit(True).alias("hit")), "canonical", "left")
+    # a URL's pages are spread over SALTS keys, and so is the list's row of it, so that a hot URL is no hot key
+    salted = sifted.where("maybe").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    spread = listed.select(F.col("url").alias("canonical"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(True).alias("hit"))
+    hits = salted.join(spread, ["canonical", "salt"], "left")
     return clear.unionAll(hits.select("page_id", "host", "path", "rule", F.when(F.col("hit"), F.lit("block")).otherwise(F.lit("allow")).alias("verdict")))
 
 
-def listing(pages: DataFrame, hosts=LISTED_HOSTS) -> DataFrame:
-    """Canonical URLs of the pages of some hosts and their subdomains."""
-    host, path = host_of(F.col("url")), path_of(F.col("url"))
-    mine = F.lit(False)
-    for h in hosts:
-        mine = mine | (host == h) | host.endswith("." + h)
-    return pages.where(mine).select(canonical(host, path).alias("url"))
-
-
-def spread_listing(pages: DataFrame, names=SPAM_NAMES, end: str = LISTED_END) -> DataFrame:
+def listing(pages: DataFrame, names=SPAM_NAMES, end: str = LISTED_END) -> DataFrame:
     """Canonical URLs of the pages of hosts with such a label, under any domain, and those that end so."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     return pages.where(host.rlike(_labels(names)) | canonical(host, path).endswith(end)).select(canonical(host, path).alias("url"))
@@ -140,11 +134,6 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, listing(pages))
 
 
-def op8_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = common.table(spark, sf_dir, "pages")
-    return judge(pages, spread_listing(pages))
-
-
 _FITS = lambda h, p: f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))"
 _BY_LENGTH = sorted(RULES, key=lambda x: -len(x[0] + x[1]))
 _sql = lambda listed: f"""
@@ -163,5 +152,4 @@ with rest as (
 select page_id, host, path, rule, coalesce(by_rule, case when canonical in (select canonical from listed) then 'block' else 'allow' end) as verdict
 from ruled
 """
-OP8_SQL = _sql(" or ".join(f"host = '{h}' or ends_with(host, '.{h}')" for h in LISTED_HOSTS))
-OP8_SPREAD_SQL = _sql(f"regexp_matches(host, '{_labels(SPAM_NAMES)}') or ends_with(canonical, '{LISTED_END}')")
+OP8_SQL = _sql(f"regexp_matches(host, '{_labels(SPAM_NAMES)}') or ends_with(canonical, '{LISTED_END}')")
