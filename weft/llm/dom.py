@@ -11,7 +11,10 @@ The trees are trained here, on pages that a seeded generator writes with known r
 Scale: a map over pages; the model is some thousand numbers, sent to every task.
 
 Defined cases: a null or empty page, and one without main text, give an empty text; ties keep; repeated
-rows repeat; tags that are cut off at the end of the page are dropped; other columns are ignored.
+rows repeat; tags that are cut off at the end of the page are dropped, as is what follows a script, style,
+textarea or title that nothing ends; a quote in a tag that nothing ends is an ordinary sign; an svg that
+ends itself, and a noscript, template, iframe or svg without an end tag, hide nothing; pages may nest as
+deep and be as long as they like, in time linear in their length; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -30,10 +34,15 @@ from . import common
 
 TREES, DEPTH, RATE = 60, 3, 0.3
 TRAINING_PAGES = 600
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<]*\Z", re.S)
+STEP = 1 << 20  # bytes of pages that are scored together
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[\"'>]")
 _NAMES = re.compile(r"(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_TEXT = frozenset("script style textarea title".split())  # without an end they take the rest of the page
+_HOLDERS = ("p", "div", "td", "li", "article", "section", "body")
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd label mark q s samp small span strong sub sup time tt u var br img wbr input del ins".split())
 #: What a start tag ends, if it is open: paragraphs, items and cells need no end tag.
@@ -66,10 +75,62 @@ class Node:
         self.size = self.links = self.tags = 0
 
 
+class _Tags:
+    """Tags of a page from a place on; each look goes forward, so a page takes time in proportion to its length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.without: set[str] = set()  # elements without an end tag from here on
+
+    def find(self, pos: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, whether it ends an element, attributes) of the next tag; the name is empty for comments and the like."""
+        page, n = self.page, len(self.page)
+        m = _OPEN.search(page, pos)
+        if not m:
+            return None
+        start, at = m.span()
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            return start, n if end < 0 else end + 3, "", False, ""
+        if page[start + 1] in "!?":
+            end = page.find(">", at)
+            return start, n if end < 0 else end + 1, "", False, ""
+        closing = page[start + 1] == "/"
+        name = _NAME.match(page, start + 1 + closing)
+        at = name.end()
+        if self.last[">"] < at:
+            return start, n, "", False, ""  # cut off at the end of the page
+        while True:
+            stop = _STOP.search(page, at)
+            if not stop:
+                return start, n, "", False, ""
+            c, at = stop.group(), stop.end()
+            if c == ">":
+                break
+            if self.last[c] >= at:
+                at = page.index(c, at) + 1
+            else:  # a quote that nothing ends is an ordinary sign
+                if self.last[">"] < at:
+                    return start, n, "", False, ""
+        return start, at, name.group().lower(), closing, page[name.end() : at - 1]
+
+    def after(self, name: str, pos: int) -> int | None:
+        """The place after the element's end tag."""
+        if name in self.without:
+            return None
+        end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(self.page, pos)
+        if not end:
+            self.without.add(name)
+            return None
+        return end.end()
+
+
 def parse(page: str) -> Node:
     root = Node("html", "", None)
     at, inline, order = root, [], 0
     pos, link = 0, 0
+    stack, opened = [root], {}  # open elements, and their places by tag
 
     def flush():
         nonlocal inline, order
@@ -80,32 +141,35 @@ def parse(page: str) -> Node:
                 order += 1
             inline = []
 
-    n = len(page)
+    def latest(names) -> int:
+        return max((opened[t][-1] for t in names if opened.get(t)), default=0)
+
+    def close(depth: int) -> None:
+        """End the open elements from this place on."""
+        nonlocal at
+        while len(stack) > depth:
+            opened[stack.pop().tag].pop()
+        at = stack[-1]
+
+    n, tags = len(page), _Tags(page)
     while pos < n:
-        tag = _TAG.search(page, pos)
-        stop = tag.start() if tag else n
+        tag = tags.find(pos)
+        stop = tag[0] if tag else n
         if stop > pos:
             inline.append(page[pos:stop])
             if link:
                 at.links += stop - pos
         if not tag:
             break
-        pos = tag.end()
-        name = tag.group(2)
+        _, pos, name, closing, attrs = tag
         if not name:
             continue
-        name = name.lower()
-        if tag.group(1):
+        if closing:
             if name == "a":
                 link = max(0, link - 1)
-            if name in INLINE:
-                continue
-            up = at
-            while up and up.tag != name:
-                up = up.parent
-            if up and up.parent:
+            if name not in INLINE and opened.get(name):
                 flush()
-                at = up.parent
+                close(opened[name][-1])
             continue
         if name == "br":
             inline.append(" ")
@@ -119,25 +183,26 @@ def parse(page: str) -> Node:
         if name == "html":
             continue
         if name in _PARAGRAPH:
-            up = at
-            while up and up.tag not in ("p", "div", "td", "li", "article", "section", "body"):
-                up = up.parent
-            if up and up.tag == "p" and up.parent:
-                at = up.parent
+            k = latest(_HOLDERS)
+            if k and stack[k].tag == "p":
+                close(k)
         elif name in _ENDS:
-            up = at
-            while up and up.tag not in _ENDS[name] and up.tag not in _SCOPES[name]:
-                up = up.parent
-            if up and up.tag in _ENDS[name] and up.parent:
-                at = up.parent
+            k = latest((*_ENDS[name], *_SCOPES[name]))
+            if k and stack[k].tag in _ENDS[name]:
+                close(k)
                 if name == "tr" and at.tag == "tr":
-                    at = at.parent
-        node = Node(name, tag.group(3), at)
+                    close(len(stack) - 1)
+        node = Node(name, attrs, at)
         at.children.append(node)
-        if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
-            pos = end.end() if end else n
-        elif name not in VOID and not tag.group(3).endswith("/"):
+        alone = name in VOID or attrs.endswith("/")
+        if name in RAW and not (alone and name == "svg"):
+            end = tags.after(name, pos)
+            if end is not None or name in _TEXT:
+                pos = n if end is None else end
+                continue
+        if not alone:
+            opened.setdefault(name, []).append(len(stack))
+            stack.append(node)
             at = node
     flush()
     return root
@@ -159,7 +224,7 @@ def describe(root: Node) -> tuple[list[Node], list[list[float]]]:
             node.parent.links += node.links
             node.parent.tags += node.tags
     total = max(1, root.size)
-    rows, inherited = [], {}
+    rows, inherited, alike = [], {}, {}
     for node in nodes:
         groups = [0.0] * len(WORDS)
         if node.attrs:
@@ -173,8 +238,10 @@ def describe(root: Node) -> tuple[list[Node], list[list[float]]]:
         groups_above = above[0]
         inherited[id(node)] = ([max(a, b) for a, b in zip(groups, groups_above)], tuple(max(a, b) for a, b in zip(own, tags)))
         family = node.parent.children if node.parent else [node]
+        if node.parent and id(node.parent) not in alike:
+            alike[id(node.parent)] = Counter(x.tag for x in family)
         rows.append(
-            [KINDS.index(node.tag) if node.tag in KINDS else len(KINDS), node.depth, np.log1p(node.size), node.size / node.tags, node.links / max(1, node.size), node.size / total, len(family), node.size / max(1, node.parent.size if node.parent else total), sum(x.tag == node.tag for x in family[:50]), len(node.children), *own, *tags, *groups, *groups_above]
+            [KINDS.index(node.tag) if node.tag in KINDS else len(KINDS), node.depth, np.log1p(node.size), node.size / node.tags, node.links / max(1, node.size), node.size / total, len(family), node.size / max(1, node.parent.size if node.parent else total), alike[id(node.parent)][node.tag] if node.parent else 1, len(node.children), *own, *tags, *groups, *groups_above]
         )
     return nodes, rows
 
@@ -332,8 +399,9 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches):
         model = shared.value
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
+            _, offsets = common.utf8(batch.column("html"))
+            for first, end in common.spans(offsets, STEP):
+                part = batch.slice(first, end - first)
                 described = [describe(parse(x or "")) for x in part.column("html").to_pylist()]
                 score = model.score(np.array([row for _, rows in described for row in rows], float))
                 ends = np.append(0, np.cumsum([len(rows) for _, rows in described]))
