@@ -6,12 +6,12 @@ A document weighs what its worst passage weighs, so a long clean document can't
 sentence. Gumbel top-k then samples documents without replacement in proportion to their weight.
 
 Scale: the counts of all documents travel as compressed blocks of a table of fixed size, one table a
-task, and are summed as a stream; scoring is a map. No text is shuffled and nothing unbounded reaches
+task, and are summed as a stream by a tree of tasks; scoring is a map. No text is shuffled and nothing unbounded reaches
 the driver: it holds the table (2 ** BITS buckets), at most ``label_bound`` labels and histograms.
 
 Defined cases: a null or empty text, or one shorter than an n-gram, weighs 0 (no evidence against it)
-and is kept; equal texts weigh the same; repeated rows are judged each on its own; no documents give no
-rows; without usable labels everything weighs 0 and all is kept; contradicting labels of a document
+and is kept; equal texts weigh the same; exactly k rows are kept, where there are as many: rows tied in key
+and id (repeated rows, null ids) go in any order, as they are equal; a null id has no label; no documents give no rows; without usable labels everything weighs 0 and all is kept; contradicting labels of a document
 count as bad; columns other than ``doc_id`` and ``text`` are passed over, or through, untouched.
 """
 
@@ -30,11 +30,13 @@ from . import common
 N = 5  # bytes of an n-gram
 BITS = 20  # log2 of the buckets
 BLOCK = 1 << 12  # buckets that travel together
+FAN = 64  # tables that one task adds up
 WINDOW = 32  # n-grams of a passage
 UNIT = 1024  # weights are whole multiples of 1 / UNIT nat, so that sums don't depend on their order
 LABEL_BOUND = 1 << 16  # labelled documents that the target model and the cut are fitted on, at most
 SHARPNESS = 8.0  # factor on log weights before the Gumbel noise is added; 1 is plain resampling
 BINS = 4096
+NO_ID = -(2**63)  # stands for a null doc_id
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +78,8 @@ def gumbel(ids: np.ndarray, seed: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """The table of units, the cut on weights and the least key (with the last id) among the top k."""
+    """The table of units, the cut on weights, and what the last of the top k has: key and id, and how many of
+    the rows that have both equal belong to the top (-1: all)."""
 
     table: np.ndarray
     cut: float
@@ -84,13 +87,18 @@ class Model:
     last_id: int
     k: int
     seed: int
+    ties: int = -1
 
     def keys(self, ids: np.ndarray, units: np.ndarray) -> np.ndarray:
         return units / UNIT * SHARPNESS + gumbel(ids, self.seed)
 
     def kept(self, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Rows of the top, and those tied with its last."""
         return (keys > self.key) | ((keys == self.key) & (ids <= self.last_id))
 
+    def tied(self, ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        return (keys == self.key) & (ids == self.last_id)
+
 
 def _labelled(labels: DataFrame, bound: int) -> tuple[np.ndarray, np.ndarray]:
     """At most ``bound`` labelled ids, chosen by hash, sorted; and which of them are target."""
@@ -115,7 +123,7 @@ def _is_in(sorted_ids: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("doc_id").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+    return batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
 def _counts(documents: DataFrame, target_ids: np.ndarray) -> np.ndarray:
@@ -137,23 +145,31 @@ def _counts(documents: DataFrame, target_ids: np.ndarray) -> np.ndarray:
         if total is not None:
             parts = total.reshape(2, -1, BLOCK)
             packed = [zlib.compress(np.ascontiguousarray(parts[:, k]).tobytes(), 1) for k in range(parts.shape[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(packed)), pa.int64()), pa.array(packed, pa.binary())], ["block", "counts"])
+            from pyspark import TaskContext
+
+            own = np.full(len(packed), TaskContext.get().partitionId() // FAN, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(packed)), pa.int64()), pa.array(own), pa.array(packed, pa.binary())], ["block", "part", "counts"])
 
     def add(batches):
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                part = np.frombuffer(zlib.decompress(packed), np.int64)
-                sums[k] = sums[k] + part if k in sums else part
+            for k, part, packed in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                own = np.frombuffer(zlib.decompress(packed), np.int64)
+                sums[k, part] = sums[k, part] + own if (k, part) in sums else own
         if sums:
             packed = [zlib.compress(x.tobytes(), 1) for x in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(packed, pa.binary())], ["block", "counts"])
-
-    schema = "block long, counts binary"
-    blocks = documents.select("doc_id", "text").mapInArrow(count, schema).repartition(16, "block").mapInArrow(add, schema).collect()
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], pa.int64()), pa.array([p // FAN for _, p in sums], pa.int64()), pa.array(packed, pa.binary())], ["block", "part", "counts"])
+
+    schema = "block long, part long, counts binary"
+    read = documents.select("doc_id", "text")
+    sums, tasks = read.mapInArrow(count, schema), read.rdd.getNumPartitions()
+    while tasks > 1:  # a tree: each task adds the tables of up to FAN others
+        tasks = -(-tasks // FAN)
+        sums = sums.repartition(min(tasks * 16, 4096), "block", "part").mapInArrow(add, schema)
+    blocks = sums.collect()
     total = np.zeros((2, (1 << BITS) // BLOCK, BLOCK), np.int64)
     for row in blocks:
-        total[:, row["block"]] = np.frombuffer(zlib.decompress(row["counts"]), np.int64).reshape(2, BLOCK)
+        total[:, row["block"]] += np.frombuffer(zlib.decompress(row["counts"]), np.int64).reshape(2, BLOCK)
     return total.reshape(2, -1)
 
 
@@ -178,7 +194,8 @@ def _cut(weights: DataFrame, ids: np.ndarray, good: np.ndarray) -> float:
             own = _ids(batch)
             yield batch.append_column("at", pa.array(np.searchsorted(ids, own))).filter(pa.array(_is_in(ids, own)))
 
-    rows = weights.mapInArrow(only, "doc_id long, units long, at long").select("at", "units").toPandas()  # one a label, so bounded
+    # one a label, so bounded: documents that share an id speak by the least weight
+    rows = weights.mapInArrow(only, "doc_id long, units long, at long").groupBy("at").agg(F.min("units").alias("units")).toPandas()
     is_good = good[rows["at"].to_numpy(np.int64)]
     units = rows["units"].to_numpy(np.int64)
     if not is_good.any() or is_good.all():
@@ -193,26 +210,37 @@ def _cut(weights: DataFrame, ids: np.ndarray, good: np.ndarray) -> float:
     return float(low + values[best]) / 2 / UNIT
 
 
-def _kth(keys: DataFrame, k: int) -> tuple[float, int]:
-    """The k-th key from the top, by (key descending, id ascending), found by narrowing histograms."""
-    low, high, left = keys.agg(F.min("key"), F.max("key"), F.lit(0)).first()
-    above, n = 0, keys.count()
-    if k >= n:
-        return -np.inf, np.iinfo(np.int64).max
-    part = keys
-    while n > BINS and high > low:
-        width = (high - low) / BINS
-        bins = part.groupBy(F.least(F.floor((F.col("key") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy(F.desc("bin")).collect()
-        for row in bins:
-            if above + row["n"] >= k:
+def _nth(values: DataFrame, column: str, n: int) -> tuple[int, int, int]:
+    """The n-th least of a column of longs, how many are less, and how many equal; by histograms that narrow."""
+    low, high = values.agg(F.min(column), F.max(column)).first()
+    below = 0
+    while True:
+        width = -(-(high - low + 1) // BINS)
+        at = F.expr(f"cast(floor((cast(`{column}` as decimal(38, 0)) - {low}) / {width}) as int)")
+        for row in values.where(F.col(column).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n")).orderBy("bin").collect():
+            if below + row["n"] >= n:
                 break
-            above += row["n"]
-        if row["n"] == n:
-            break
-        low, high, n = row["low"], row["high"], row["n"]
-        part = keys.where((F.col("key") >= F.lit(low)) & (F.col("key") <= F.lit(high)))
-    row = part.orderBy(F.desc("key"), "doc_id").limit(k - above).collect()[-1]
-    return row["key"], row["doc_id"] if row["doc_id"] is not None else -1
+            below += row["n"]
+        low, high = low + row["bin"] * width, min(high, low + (row["bin"] + 1) * width - 1)
+        if width == 1:
+            return low, below, row["n"]
+
+
+def _ordered(keys: np.ndarray) -> np.ndarray:
+    """Longs in the opposite order of doubles."""
+    raw = (keys + 0.0).view(np.int64)
+    return -1 - np.where(raw < 0, raw ^ np.int64(2**63 - 1), raw)
+
+
+def _kth(keys: DataFrame, k: int) -> tuple[int, int, int]:
+    """Place (as of :func:`_ordered`) and id of the k-th of the rows (place, id), both ascending; and how many of those
+    that equal it belong to the first k (-1: all)."""
+    place, below, n = _nth(keys, "place", k)
+    if below + n == k:
+        return place, 2**63 - 1, -1
+    tied = keys.where(F.col("place") == F.lit(place))
+    last, less, equal = _nth(tied, "id", k - below)
+    return place, last, -1 if below + less + equal == k else k - below - less
 
 
 def fit(documents: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0, label_bound: int = LABEL_BOUND) -> tuple[Model, DataFrame]:
@@ -233,30 +261,59 @@ def fit(documents: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     model = Model(table, _cut(weights, ids, good), -np.inf, np.iinfo(np.int64).max, 0, seed)
     model.k = weights.where(F.col("units") >= F.lit(float(model.cut * UNIT))).count() if k is None else k
 
+    plain = Model(np.zeros(0), 0.0, 0.0, 0, 0, seed)
+
     def add_key(batches):
         for batch in batches:
             own = _ids(batch)
-            keys = Model.keys(plain, own, batch.column("units").to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys)], ["doc_id", "key"])
+            place = _ordered(plain.keys(own, batch.column("units").to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(place)], ["id", "place"])
 
-    plain = Model(np.zeros(0), 0.0, 0.0, 0, 0, seed)
+    n = weights.count()
     if model.k <= 0:
         model.key = np.inf
-    else:
-        model.key, model.last_id = _kth(weights.mapInArrow(add_key, "doc_id long, key double"), model.k)
+    elif model.k < n:
+        place, model.last_id, model.ties = _kth(weights.mapInArrow(add_key, "id long, place long"), model.k)
+        raw = np.array([-1 - place], np.int64)
+        model.key = float(np.where(raw < 0, raw ^ np.int64(2**63 - 1), raw).view(np.float64)[0])
     return model, weights
 
 
+def _choose(rows: DataFrame, judged, ties: int) -> DataFrame:
+    """Rows by judged(batch) -> (kept, tied); of the tied ones only ``ties`` (all, if negative)."""
+
+    def choose(batches, only: bool):
+        for batch in batches:
+            kept, tied = judged(batch)
+            yield batch.filter(pa.array(tied if only else kept & ~tied if ties >= 0 else kept))
+
+    above = rows.mapInArrow(lambda batches: choose(batches, False), rows.schema)
+    return above if ties < 0 else above.unionAll(rows.mapInArrow(lambda batches: choose(batches, True), rows.schema).limit(ties))
+
+
 def classify(documents: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0, label_bound: int = LABEL_BOUND) -> DataFrame:
     """(doc_id, log_weight, sample_key, kept) of every document."""
     model, weights = fit(documents, labels, k, seed, label_bound)
-    plain = Model(np.zeros(0), model.cut, model.key, model.last_id, model.k, seed)
+    plain = Model(np.zeros(0), model.cut, model.key, model.last_id, model.k, seed, model.ties)
+    last = None
+    if plain.ties >= 0:  # rows that equal the last of the top in key and id: the first of them by place
+        weights = common.durable(weights.withColumn("row", F.monotonically_increasing_id()))
+
+        def tied(batches):
+            for batch in batches:
+                own = _ids(batch)
+                yield batch.filter(pa.array(plain.tied(own, plain.keys(own, batch.column("units").to_numpy()))))
+
+        last = _nth(weights.mapInArrow(tied, weights.schema), "row", max(1, plain.ties))[0]
 
     def judge(batches):
         for batch in batches:
             own, units = _ids(batch), batch.column("units").to_numpy()
             keys = plain.keys(own, units)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(units / UNIT), pa.array(keys), pa.array(plain.kept(own, keys))], ["doc_id", "log_weight", "sample_key", "kept"])
+            kept = plain.kept(own, keys)
+            if last is not None:
+                kept &= ~plain.tied(own, keys) | (batch.column("row").to_numpy() <= last)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(units / UNIT), pa.array(keys), pa.array(kept)], ["doc_id", "log_weight", "sample_key", "kept"])
 
     return weights.mapInArrow(judge, "doc_id long, log_weight double, sample_key double, kept boolean")
 
@@ -266,13 +323,12 @@ def keep(documents: DataFrame, labels: DataFrame, k: int | None = None, seed: in
     model, _ = fit(documents, labels, k, seed, label_bound)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def choose(batches):
-        for batch in batches:
-            data, offsets = common.utf8(batch.column("text"))
-            own = _ids(batch)
-            yield batch.filter(pa.array(shared.value.kept(own, shared.value.keys(own, score(shared.value.table, data, offsets)))))
+    def judged(batch):
+        own = _ids(batch)
+        keys = shared.value.keys(own, score(shared.value.table, *common.utf8(batch.column("text"))))
+        return shared.value.kept(own, keys), shared.value.tied(own, keys)
 
-    return documents.mapInArrow(choose, documents.schema)
+    return _choose(documents, judged, model.ties)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
