@@ -15,6 +15,7 @@ library's default has it; repeated rows repeat; other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -47,6 +48,7 @@ class Vocabulary:
         ids = spec["model"]["vocab"]
         added = [x["content"] for x in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self.sign = os.path.commonprefix(added)[:1]  # what all of them begin with, maybe nothing
         names = sorted((t for t in ids if t not in added), key=ids.get)
         self.names = [plain(t) for t in names]
         number = {t: k for k, t in enumerate(names)}
@@ -214,7 +216,7 @@ class Vocabulary:
         out = np.zeros(len(texts), np.int64)
         flat, owner = [], []
         for k, text in enumerate(texts):
-            if self.special is not None and "<" in text and self.special.search(text):
+            if self.special is not None and self.sign in text and self.special.search(text):
                 between = self.special.split(text)
                 out[k] = len(between) - 1
                 flat += between

@@ -17,6 +17,8 @@ the document; no documents or no items give no rows; other columns are ignored,
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +52,39 @@ def seeds(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return common.mix(total[at]), at
 
 
+def _alike(a, b, ha, hb, item, text, free_a, free_b, most: int = 1 << 20):
+    """Pairs of places with equal hashes that no match one word before continues, in order of the text's place."""
+    order = np.argsort(ha, kind="stable")
+    sorted_ = ha[order]
+    low, high = np.searchsorted(sorted_, hb, "left"), np.searchsorted(sorted_, hb, "right")
+    near = np.flatnonzero(high > low)
+    size = (high - low)[near]
+    upto, done = np.append(0, np.cumsum(size)), 0
+    while done < len(near):
+        end = max(done + 1, int(np.searchsorted(upto, upto[done] + most, "right")) - 1)
+        own = np.repeat(np.arange(done, end), size[done:end])
+        i = a[order[low[near[own]] + np.arange(len(own)) - (upto[own] - upto[done])]]
+        j = b[near[own]]
+        inner = (i > 0) & (j > 0)
+        goes_on = inner & free_a[i - 1] & free_b[j - 1] & (item[i - 1] == text[j - 1])
+        yield from zip(i[~goes_on].tolist(), j[~goes_on].tolist())
+        done = end
+
+
+def _common(item, text, free_a, free_b, i: int, j: int) -> int:
+    """Words from i and j on that agree and are unmarked."""
+    k, step = 0, 32
+    while True:
+        n = min(step, len(item) - i - k, len(text) - j - k)
+        if n <= 0:
+            return k
+        x, y = slice(i + k, i + k + n), slice(j + k, j + k + n)
+        same = (item[x] == text[y]) & free_a[x] & free_b[y]
+        if not same.all():
+            return k + int(same.argmin())
+        k, step = k + n, step * 2
+
+
 def tile(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy tiles (place in item, place in text, words), of at least ``least`` words."""
     free_a, free_b = np.isin(item, text), np.isin(text, item)
@@ -65,27 +100,18 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[in
             starts.append(np.flatnonzero(run[s:] == run[:-s]) if len(free) >= s else np.zeros(0, np.int64))
         a, b = starts
         ha, hb = ((z[x + s] - z[x]) * inverse[x] for z, x in zip(sums, starts))
-        table: dict[int, list[int]] = {}
-        for h, at in zip(ha.tolist(), a.tolist()):
-            table.setdefault(h, []).append(at)
-        near = np.isin(hb, ha)
         queue, longest = [], 0
-        for h, j in zip(hb[near].tolist(), b[near].tolist()):
-            for i in table[h]:
-                if i and j and free_a[i - 1] and free_b[j - 1] and item[i - 1] == text[j - 1]:
-                    continue  # part of the match that starts one word before
-                k = 0
-                while i + k < len(item) and j + k < len(text) and free_a[i + k] and free_b[j + k] and item[i + k] == text[j + k]:
-                    k += 1
-                if k >= s:
-                    queue.append((-k, i, j))
-                    longest = max(longest, k)
+        for i, j in _alike(a, b, ha, hb, item, text, free_a, free_b):
+            k = _common(item, text, free_a, free_b, i, j)
+            if k >= s:
+                queue.append((-k, i, j))
+                longest = max(longest, k)
         if longest > 2 * s:
             s = longest
             continue
-        queue.sort()
+        heapq.heapify(queue)
         while queue:
-            k, i, j = queue.pop(0)
+            k, i, j = heapq.heappop(queue)
             k = -k
             # what an earlier tile took from either end is cut off
             while k and not (free_a[i] and free_b[j]):
@@ -94,16 +120,14 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[in
             left = int(np.argmax(taken)) if taken.any() else k
             if left < k or not (k and left == k):
                 if left >= s:
-                    queue.append((-left, i, j))
+                    heapq.heappush(queue, (-left, i, j))
                 if k - left > s:
-                    queue.append((-(k - left - 1), i + left + 1, j + left + 1))
-                queue.sort()
+                    heapq.heappush(queue, (-(k - left - 1), i + left + 1, j + left + 1))
                 continue
             if k < s:
                 continue
             if queue and -queue[0][0] > k:
-                queue.append((-k, i, j))
-                queue.sort()
+                heapq.heappush(queue, (-k, i, j))
                 continue
             free_a[i : i + k] = False
             free_b[j : j + k] = False
@@ -175,7 +199,7 @@ def _index(benchmark: DataFrame, most: int) -> Index | None:
     """The benchmark's index, or None if it is too large to send to every task."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     # a word has a byte at least, and a byte between it and the next
-    if (items.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0) / 2 > most:
+    if (items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0) / 2 > most:
         return None
     table = items.toArrow().combine_chunks()
     return Index(table.column("item_id").to_pylist(), *common.utf8(table.column("text")))
@@ -186,7 +210,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, share: float = SHA
     index = _index(benchmark, broadcast_words)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if index is None:
-        return _joined(docs.withColumn("row_key", F.monotonically_increasing_id()), benchmark, share).drop("row_key")
+        return _joined(docs.withColumn("weft_key", F.monotonically_increasing_id()), benchmark, share).drop("weft_key")
     shared = documents.sparkSession.sparkContext.broadcast(index)
 
     def scan(batches):
@@ -217,11 +241,11 @@ def _joined(docs: DataFrame, benchmark: DataFrame, share: float) -> DataFrame:
 
         return spread
 
-    by_doc = docs.select("row_key", "text").mapInArrow(of("row_key", "text"), "seed long, row_key long, place int, size int").select("seed", "row_key").distinct()
+    by_doc = docs.select("weft_key", "text").mapInArrow(of("weft_key", "text"), "seed long, weft_key long, place int, size int").select("seed", "weft_key").distinct()
     by_item = items.select("item_key", "item_text").mapInArrow(of("item_key", "item_text"), "seed long, item_key long, place int, size int")
-    pairs = by_doc.join(by_item, "seed").groupBy("row_key", "item_key").agg(F.countDistinct("place").alias("n"), F.first("size").alias("size"))
-    pairs = pairs.where(F.col("n") * SEED >= F.col("size") * share).select("row_key", "item_key")
-    both = pairs.join(items, "item_key").join(docs, "row_key")
+    pairs = by_doc.join(by_item, "seed").groupBy("weft_key", "item_key").agg(F.countDistinct("place").alias("n"), F.first("size").alias("size"))
+    pairs = pairs.where(F.col("n") * SEED >= F.col("size") * share).select("weft_key", "item_key")
+    both = pairs.join(items, "item_key").join(docs, "weft_key")
 
     def judge(batches):
         for batch in batches:
@@ -231,18 +255,18 @@ def _joined(docs: DataFrame, benchmark: DataFrame, share: float) -> DataFrame:
                 found = index.judge(*common.utf8(texts.slice(k, 1)), share)
                 if found:
                     out = index.batch(batch.column("doc_id").slice(k, 1).to_pylist(), found)
-                    yield pa.RecordBatch.from_arrays([*out.columns, batch.column("row_key").slice(k, 1)], [*out.schema.names, "row_key"])
+                    yield pa.RecordBatch.from_arrays([*out.columns, batch.column("weft_key").slice(k, 1)], [*out.schema.names, "weft_key"])
 
-    return both.select("row_key", "doc_id", "text", "item_id", "item_text").mapInArrow(judge, FOUND + ", row_key long")
+    return both.select("weft_key", "doc_id", "text", "item_id", "item_text").mapInArrow(judge, FOUND + ", weft_key long")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, share: float = SHARE, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """The documents that no test item contaminates, with all their columns."""
     index = _index(benchmark, broadcast_words)
     if index is None:
-        keyed = common.durable(documents.withColumn("row_key", F.monotonically_increasing_id()))
-        found = _joined(keyed.select("row_key", F.lit(0).cast("long").alias("doc_id"), "text"), benchmark, share)
-        return keyed.join(found.select("row_key").distinct(), "row_key", "left_anti").select(*documents.columns)
+        keyed = common.durable(documents.withColumn("weft_key", F.monotonically_increasing_id()))
+        found = _joined(keyed.select("weft_key", F.lit(0).cast("long").alias("doc_id"), "text"), benchmark, share)
+        return keyed.join(found.select("weft_key").distinct(), "weft_key", "left_anti").select(*documents.columns)
     shared = documents.sparkSession.sparkContext.broadcast(index)
 
     def choose(batches):
