@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from .order import numbered
 from pyspark.sql import types as T
 
 VERSION = 2
@@ -57,8 +59,7 @@ def keep_last(rows: DataFrame, *key: str, order: str = "seq") -> DataFrame:
 def canonical(graph: Graph) -> Graph:
     """With seq: nodes by id, edges by their full key."""
     key = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("kind", "src", "dst", "via")]
-    by_id, by_key = Window.orderBy("id"), Window.orderBy(F.concat_ws(" ", *key))
-    return Graph(graph.nodes.withColumn("seq", F.row_number().over(by_id)), graph.edges.withColumn("seq", F.row_number().over(by_key)))
+    return Graph(numbered(graph.nodes.drop("seq"), "id"), numbered(graph.edges.drop("seq"), F.concat_ws(" ", *key)))
 
 
 def kind_counts(nodes: DataFrame) -> DataFrame:

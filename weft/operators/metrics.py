@@ -22,6 +22,35 @@ def calibration(answers: DataFrame) -> DataFrame:
     return run.withColumn("precision", F.round(F.col("correct") / F.col("n"), 6))
 
 
+def thresholds(curve: DataFrame, floor: float = 0.95) -> DataFrame:
+    """(threshold, before_drop): the least threshold of at least the floor's precision, and the last one before precision first falls below it."""
+    fine = F.col("precision") >= floor
+    fall = curve.where(~fine).agg(F.max("threshold").alias("fall"))
+    return curve.crossJoin(F.broadcast(fall)).agg(F.min(F.when(fine, F.col("threshold"))).alias("threshold"), F.min(F.when(F.col("fall").isNull() | (F.col("threshold") > F.col("fall")), F.col("threshold"))).alias("before_drop"))
+
+
+def honesty(answers: DataFrame) -> DataFrame:
+    """Shares of answers that are right; of answers with several leaders that say so; of wrong ones at high level (poison);
+    of tickets outside that are declined. answers: (right, ties, status, level, outside, declined); of nothing, null."""
+    share = lambda hit, of: F.round(F.try_divide(F.count_if(hit & of), F.count_if(of)), 6)
+    inside = ~F.col("outside")
+    return answers.agg(
+        share(F.col("right"), inside).alias("accuracy"), share(F.col("status") == "ambiguous", inside & (F.col("ties") > 1)).alias("ambiguity_honesty"),
+        share(~F.col("right") & (F.col("level") == "high"), inside).alias("poison"), share(F.col("declined"), F.col("outside")).alias("ood_decline"),
+    )
+
+
+def determinism(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(only_first, only_second, same): rows of two runs, repeated ones counted."""
+    a, b = first.exceptAll(second).agg(F.count("*").alias("only_first")), second.exceptAll(first).agg(F.count("*").alias("only_second"))
+    return a.crossJoin(F.broadcast(b)).withColumn("same", (F.col("only_first") == 0) & (F.col("only_second") == 0))
+
+
+def incomplete(nodes: DataFrame) -> DataFrame:
+    """(flag, n) of nodes that say that something about them is unknown."""
+    return nodes.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+
+
 def coverage(components: DataFrame, covered: DataFrame) -> DataFrame:
     """Share of components with a test."""
     both = components.select("id").distinct().join(covered.select("id").distinct().withColumn("hit", F.lit(1)), "id", "left")

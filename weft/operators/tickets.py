@@ -22,7 +22,7 @@ _BEHAVIOUR = [
     r"won'?t (close|load|open|save|submit|work)", rf"(after|when) (i |we |you )?({_TRIES})", r"clicking .* (does|has) ",
 ]
 BACKEND = r"(?i)\b(" + "|".join(_BACKEND) + r")\b"
-BEHAVIOUR = r"(?i)\b(" + "|".join(_BEHAVIOUR) + r")\b"
+BEHAVIOUR = r"(?i)\b(" + "|".join(_BEHAVIOUR) + ")"  # words may go on: "after clicking"
 
 
 def classify(text: Column, screenshots: Column, links: Column) -> Column:
@@ -31,6 +31,23 @@ def classify(text: Column, screenshots: Column, links: Column) -> Column:
     return F.when(video, "unsupported").when(F.coalesce(screenshots, F.lit(0)) > 0, "visual").when(F.regexp_like(text, F.lit(BACKEND)), "out-of-domain").when(F.regexp_like(text, F.lit(BEHAVIOUR)), "behavioral").otherwise("textual")
 
 
+DECLINES = {"out-of-domain": ("out-of-scope", "Servers, operations or performance, not the interface: a person or another tool should look at it."), "unsupported": ("unsupported-input", "Videos can't be matched; a still picture of the state can.")}
+
+
+def decline(entry_point: Column) -> Column:
+    """(reason, message) of tickets that can't be matched, else null."""
+    out = F.lit(None).cast("struct<reason: string, message: string>")
+    for kind, (reason, message) in DECLINES.items():
+        out = F.when(entry_point == kind, F.struct(F.lit(reason).alias("reason"), F.lit(message).alias("message"))).otherwise(out)
+    return out
+
+
+def resolve(tickets: DataFrame) -> DataFrame:
+    """tickets (text, screenshots, links, ...) with entry_point, and either decline or the terms to match."""
+    own = tickets.withColumn("entry_point", classify(F.col("text"), F.col("screenshots"), F.col("links"))).withColumn("decline", decline(F.col("entry_point")))
+    return own.withColumn("terms", F.when(F.col("decline").isNull(), terms(F.coalesce("text", F.lit("")))))
+
+
 #: \b and \s as JavaScript reads them: words are ASCII, spaces are not only ASCII.
 _EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 _SPACE = r"[\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"

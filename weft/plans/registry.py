@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..extract import link
+from ..functions import graphql
 from ..functions import paths as P
 from ..functions import text as X
 from ..operators import graph as G
 from ..operators import match as M
 from ..operators import metrics, tickets, traverse, versions
 from ..streaming import counts as streams
-from .tables import GRAPH_SQL, TRANSITIONS_SQL, load, part_components, sales_graph, transitions
+from .tables import GRAPH_SQL, TRANSITIONS_SQL, load, part_components, sales_graph, source_files, source_locales, transitions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -131,11 +133,11 @@ valued as (select *, w * boost * case when len(list_filter(tt, lambda t: len(lis
 scored as (select component_id, name, sum(v) * (1 + 0.5 * (count(*) - 1)) as text, count(*)::int as n_covered from valued group by component_id, name),
 auth as (select component_id, name, coalesce(text, 0) + authority as score, coalesce(n_covered, 0) as n_covered, authority from (select p.component_id, p.name, s.text, s.n_covered, {named} as authority from pool p left join scored s using (component_id)) where n_covered > 0 or authority > 0),
 best as (select max(score) as best from auth), leaders as (select count(*) as n from auth, best where abs(score - best) < 1e-9)
-select component_id, name, round(score, 6) as score, round(case when authority > 0 then 1.0 else n_covered / (select count(*) from terms) end, 6) as coverage, n_covered, case when (select n from leaders) > 1 then 'ambiguous' else 'ok' end as status from auth"""
+select component_id, name, round(score, 6) as score, round(case when authority > 0 then 1.0 else n_covered / (select count(*) from terms) end, 6) as coverage, n_covered, (row_number() over (order by score desc, name, component_id))::int as rank, case when (select n from leaders) > 1 then 'ambiguous' else 'ok' end as status from auth"""
 
 
 def _ranked(found: DataFrame) -> DataFrame:
-    return found.select("component_id", "name", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"), "n_covered", "status")
+    return found.select("component_id", "name", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"), "n_covered", "rank", "status")
 
 
 @query(_match_sql())
@@ -155,6 +157,52 @@ def match_named(spark, sf_dir):
     return _ranked(M.match(part_components(spark, sf_dir), M.terms_of(spark, list(_TERMS)), aliases=aliases, corrections=corrections))
 
 
+def _rendered(spark, sf_dir):
+    """Parts render the part of half their number; parts 1 and 2 render each other, so the graph has a cycle."""
+    key = F.col("p_partkey")
+    pairs = load(spark, sf_dir, "part").where("p_partkey > 1").select(F.concat(F.lit("part:"), key.cast("string")).alias("parent"), F.concat(F.lit("part:"), (key - F.floor(key / 2)).cast("string")).alias("child")).where("parent <> child")
+    return traverse.closure(pairs.unionAll(spark.createDataFrame([("part:1", "part:2")], "parent string, child string")))
+
+
+_COLLAPSE_SQL = f"""with recursive edge as (select 'part:' || p_partkey as a, 'part:' || (p_partkey - p_partkey // 2) as b from part where p_partkey > 1 union select 'part:1', 'part:2'),
+up as (select a, b from edge where a <> b union select up.a, edge.b from up join edge on edge.a = up.b where edge.a <> edge.b), above as (select distinct a, b from up where a <> b),
+pool as (select 'part:' || p_partkey as id, p_name as name, p_name ilike '%ring%' as own from part),
+hit as (select distinct id from (select id from pool where own union all select above.a from above join pool on pool.id = above.b and pool.own)),
+size as (select a as id, count(*) as size from above group by a),
+ranked as (select pool.id, name, row_number() over (order by coalesce(size, 0), name, pool.id) as place from pool join hit using (id) left join size using (id)),
+pair as (select n.id as n, x.id as x, n.place as n_place, x.name as x_name, x.place as x_place from above join ranked x on x.id = above.a join ranked n on n.id = above.b
+  where n.place < x.place or not exists (select 1 from above back where back.a = n.id and back.b = x.id)),
+heir as (select x, min_by(n, n_place) as n, any_value(x_name) as x_name, any_value(x_place) as x_place from pair group by x),
+ctx as (select n, list(x_name order by x_place) as context from heir group by n)
+select r.id as component_id, r.name, coalesce(len(context), 0)::int as n_context, coalesce(array_to_string(context[1:5], '|'), '') as context from ranked r left join ctx on ctx.n = r.id where r.id not in (select x from heir)"""
+
+
+@query(_COLLAPSE_SQL)
+def match_collapse(spark, sf_dir):
+    """One term that many parts show, so that all candidates cover the same; who renders a match is its context (of which five are shown)."""
+    parts = part_components(spark, sf_dir).withColumn("identifiers", F.array().cast("array<string>"))
+    found = M.match(parts, M.terms_of(spark, ["ring"]), closure=_rendered(spark, sf_dir))
+    return found.select("component_id", "name", F.size("context").alias("n_context"), F.array_join(F.slice("context", 1, 5), "|").alias("context"))
+
+
+@query("""with f as (select 'part:' || p_partkey as component_id, p_name as name, (case when p_size >= 10 then 1 else 0 end + case when p_retailprice > 1500 then 1 else 0 end) / 2.0 as fit from part),
+k as (select *, 3 * fit as score from f where fit > 0), b as (select max(score) as best from k)
+select component_id, name, round(score, 6) as score, case when least(fit, 0.79) >= 0.5 then 'medium' else 'low' end as level, (row_number() over (order by score desc, name, component_id))::int as rank, case when (select count(*) from k, b where score = best) > 1 then 'ambiguous' else 'ok' end as status from k""")
+def match_structure(spark, sf_dir):
+    counts = {"input": F.when(F.col("p_size") >= 10, 3).otherwise(0), "table": F.when(F.col("p_retailprice") > 1500, 1).otherwise(0)}
+    fit = load(spark, sf_dir, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("component_id"), M.structure_fit(counts, {"inputs": 2, "table": True}).alias("fit"))
+    found = M.match(part_components(spark, sf_dir), M.terms_of(spark, []), fit=fit)
+    return found.select("component_id", "name", F.round("score", 6).alias("score"), "level", "rank", "status")
+
+
+@query(f"""with found as ({_match_sql()}), tied as (select component_id, name, rank from found where status = 'ambiguous' and score = (select max(score) from found)),
+n as (select component_id, name, array_to_string({_tokens_sql('name')}, ' ') as normal from tied), own as (select normal from n where normal <> '' group by normal having count(distinct component_id) = 1)
+select t.component_id, t.name, rank as place, case when normal in (select normal from own) then t.name end as distinctive from tied t join n using (component_id)""")
+def match_question(spark, sf_dir):
+    parts = part_components(spark, sf_dir)
+    return M.question(M.match(parts, M.terms_of(spark, list(_TERMS))), parts)
+
+
 _TAGS = {"table": "table", "columns": "th", "form": "form", "input": "(?:input|select|textarea)", "button": "button", "link": "a", "image": "img", "heading": "h[1-6]", "list": "(?:ul|ol)", "repeated": "li"}
 _COUNT_SQL = ", ".join(f"len(regexp_extract_all(html, '<{p}[ >]'))::int as \"{k}\"" for k, p in _TAGS.items())
 
@@ -205,11 +253,6 @@ def page_links(spark, sf_dir):
     return links.groupBy("page_id").agg(F.count("*").alias("links"), F.sum(P.is_external(F.col("href")).cast("int")).alias("external"), F.countDistinct("href").alias("targets"))
 
 
-@query("""select page_id, replace(replace(replace(replace(regexp_extract(html, '<footer>([^<]*)</footer>', 1), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') as footer from pages""")
-def entity_decode(spark, sf_dir):
-    return load(spark, sf_dir, "pages").select("page_id", P.decode_entities(F.regexp_extract("html", "<footer>([^<]*)</footer>", 1)).alias("footer"))
-
-
 def _decoded_sql(text: str) -> str:
     """The names alone, &amp; last: the tables have no numbers, which tests hold against brute force."""
     for name, char in P.ENTITIES.items():
@@ -218,10 +261,37 @@ def _decoded_sql(text: str) -> str:
 
 
 @query(f"select page_id, {_decoded_sql('html')} as html from pages")
-def entity_decode_html(spark, sf_dir):
+def entity_decode(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", P.decode_entities(F.col("html")).alias("html"))
 
 
+@query("""select p_partkey, case p_partkey % 3 when 0 then 'query' when 1 then 'mutation' else 'query' end as type, case p_partkey % 3 when 2 then null else 'Part' || p_partkey end as name,
+case p_partkey % 3 when 1 then 'save|then' else 'part|first|seller' end as root_fields from part""")
+def graphql_operations(spark, sf_dir):
+    """Documents written from each part: named, with arguments, aliases, fragments and comments."""
+    key = F.col("p_partkey").cast("string")
+    body = F.concat(F.lit("{ part(id: "), key, F.lit(") { name ...F } # {no\n first: parts(n: 1) @skip(if: true) { id } ... on Q seller { a { b } } part { x } }"))
+    change = F.concat(F.lit("`mutation Part"), key, F.lit("($a: In!) { save(in: {a: $a}) { id } then }`"))
+    kind = F.col("p_partkey") % 3
+    document = F.when(kind == 0, F.concat(F.lit("query Part"), key, F.lit("($n: Int = 1) "), body)).when(kind == 1, change).otherwise(body)
+    found = load(spark, sf_dir, "part").select("p_partkey", graphql.parse_operation(document).alias("o"))
+    return found.select("p_partkey", "o.type", "o.name", F.array_join("o.root_fields", "|").alias("root_fields"))
+
+
+@query("""with f as (select doc_id, 'src/' || source || '/' || lang || case doc_id % 4 when 0 then '/View.tsx' when 1 then '/types.d.ts' when 2 then '/a/b/hook.ts' else '.jsx' end as file from documents)
+select doc_id, regexp_matches(file, '\\.(tsx|jsx)$') as scanned, regexp_matches(file, '^src/[^/]*/[^/]*\\.jsx$') as flat, regexp_matches(file, '/a/b/hook\\.ts$') as deep from f""")
+def glob_files(spark, sf_dir):
+    kind = F.col("doc_id") % 4
+    file = F.concat(F.lit("src/"), "source", F.lit("/"), "lang", F.when(kind == 0, "/View.tsx").when(kind == 1, "/types.d.ts").when(kind == 2, "/a/b/hook.ts").otherwise(".jsx"))
+    return load(spark, sf_dir, "documents").select("doc_id", graphql.glob(file, "**/*.{tsx,jsx}").alias("scanned"), graphql.glob(file, "src/*/*.jsx").alias("flat"), graphql.glob(file, "src/**/a/?/hook.ts").alias("deep"))
+
+
+@query("""select page_id, replace(to_json(html)::varchar, '<', '\\u003c') as json, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') as markup from pages""")
+def escapes(spark, sf_dir):
+    html = F.col("html")
+    return load(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('"'), graphql.escape_json(html), F.lit('"')).alias("json"), graphql.escape_markup(html).alias("markup"))
+
+
 # --- graph ------------------------------------------------------------------------------------------
 
 @query(f"with {GRAPH_SQL} select id, kind, name from nodes")
@@ -245,9 +315,10 @@ def kind_counts(spark, sf_dir):
     return G.kind_counts(sales_graph(spark, sf_dir).nodes)
 
 
-@query(f"with {GRAPH_SQL} select src, dst, kind from edges where src not in (select id from nodes) or dst not in (select id from nodes)")
+@query(f"with {GRAPH_SQL}, kept as (select id from nodes where not regexp_matches(id, '7$')) select src, dst, kind from edges where src not in (select id from kept) or dst not in (select id from kept)")
 def dangling_edges(spark, sf_dir):
-    return G.dangling_edges(sales_graph(spark, sf_dir)).select("src", "dst", "kind")
+    graph = sales_graph(spark, sf_dir)
+    return G.dangling_edges(G.Graph(graph.nodes.where(~F.col("id").endswith("7")), graph.edges)).select("src", "dst", "kind")
 
 
 @query(f"with {GRAPH_SQL} select id, count(*) as degree from (select src as id from edges union all select dst from edges) group by id")
@@ -255,9 +326,10 @@ def node_degree(spark, sf_dir):
     return G.degrees(sales_graph(spark, sf_dir).edges)
 
 
-@query(f"with {GRAPH_SQL} select src, dst, kind, via from edges where src in (select id from nodes) and dst in (select id from nodes)")
+@query(f"with {GRAPH_SQL}, kept as (select id from nodes where not regexp_matches(id, '7$')) select src, dst, kind, via from edges where src in (select id from kept) and dst in (select id from kept)")
 def view_edges(spark, sf_dir):
-    return G.view_model(sales_graph(spark, sf_dir))[1]
+    graph = sales_graph(spark, sf_dir)
+    return G.view_model(G.Graph(graph.nodes.where(~F.col("id").endswith("7")), graph.edges))[1]
 
 
 def _impact_sql(start: str, depth: int = 99) -> str:
@@ -373,7 +445,7 @@ def content_hash(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-@query("""select doc_id, (regexp_matches('src/' || source || '/' || doc_id || '.tsx', '(?i)(^|/)(__)?generated(__)?/|\\.(generated|gen)\\.') or regexp_matches(substr(text, 1, 2000), '(?i)@generated|auto-?generated|do not edit')
+@query("""select doc_id, (regexp_matches('src/' || source || '/' || doc_id || '.tsx', '(?i)(^|/)(__generated__|generated)(/|$)|\\.(generated|gen)\\.[jt]sx?$') or regexp_matches(substr(text, 1, 2000), '(?i)@generated\\b|do not edit|auto-?generated')
 or coalesce(list_max(list_transform(string_split(text, chr(10)), lambda t: length(t))), 0) >= 3000) as generated from documents""")
 def generated_flag(spark, sf_dir):
     path = F.concat(F.lit("src/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".tsx"))
@@ -382,21 +454,28 @@ def generated_flag(spark, sf_dir):
 
 # --- tickets and measures ---------------------------------------------------------------------------
 
-_q = lambda s: s.replace("'", "''")
+#: The rules once more, word by word, so that the library's patterns are held against something else.
+_OUTSIDE_SQL = "(?i)\\b(" + "|".join("database migration sql postgres mysql mongo redis kafka rabbitmq kubernetes k8s docker deploy deploys deployed deploying deployment deployments infra infrastructure terraform cron job[ ]queue background[ ]job worker latency throughput memory[ ]leak cpu[ ]usage webhook ci/cd pipeline nginx load[ ]balancer env[ ]variable environment[ ]variable api[ ]gateway microservice 502 503 504 gateway[ ]timeout connection[ ]pool".split()) + "|rate[- \\t\\n]?limit|rate[- \\t\\n]?limited|rate[- \\t\\n]?limiting|index (the )?table|indexing (the )?table)\\b"
+_DOES_SQL = "|".join(f"{x} {y}" for x in ("doesn''?t", "does not") for y in ("work", "respond", "do anything", "fire", "trigger", "navigate", "submit", "save", "load", "open", "close"))
+_WONT_SQL = "|".join(f"won''?t {y}" for y in ("submit", "save", "open", "close", "load", "work"))
+_AFTER_SQL = "|".join(f"{x} {who}{y}" for x in ("after", "when") for who in ("", "i ", "you ", "we ") for y in ("click", "press", "tap", "submit", "hit"))
+_ACTING_SQL = f"(?i)\\b(nothing happens|{_DOES_SQL}|no response|no reaction|no effect|not working|unresponsive|isn''?t working|{_WONT_SQL}|{_AFTER_SQL}|clicking .* (does|has) )"
+_ENTRY_SQL = f"case when regexp_matches(coalesce(text, ''), '(?i)\\b(screencast|screen[- \\t\\n]?recording|video attached|video recording|video of)\\b') then 'unsupported' when shots > 0 then 'visual' when regexp_matches(coalesce(text, ''), '{_OUTSIDE_SQL}') then 'out-of-domain' when regexp_matches(coalesce(text, ''), '{_ACTING_SQL}') then 'behavioral' else 'textual' end"
 
 
-@query(f"""select conv_id, turn, case when regexp_matches(coalesce(text, ''), '{_q(tickets.VIDEO_MENTION)}') then 'unsupported' when turn % 9 = 8 then 'visual' when regexp_matches(coalesce(text, ''), '{_q(tickets.BACKEND)}') then 'out-of-domain' when regexp_matches(coalesce(text, ''), '{_q(tickets.BEHAVIOUR)}') then 'behavioral' else 'textual' end as entry_point from conversations""")
-def ticket_classify(spark, sf_dir):
-    shots = F.when(F.col("turn") % 9 == 8, 1).otherwise(0)
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", tickets.classify(F.col("text"), shots, F.array().cast("array<string>")).alias("entry_point"))
+def _tickets(spark, sf_dir):
+    said = load(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    actions = F.array(*[F.lit(x) for x in ("", " after clicking Save", " when I clicked it", " when submitting", " the database migration", " the deployments", " see the screencast", " nothing happens", " won't save", " does not respond")])
+    # tickets are turns with a phrase of each kind, and without one
+    return said.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.get(actions, F.col("turn") % 10))).withColumn("screenshots", F.when(F.col("turn") % 9 == 8, 1).otherwise(0)).withColumn("links", F.array().cast("array<string>"))
 
 
-@query("""with t as (select conv_id, turn, text, list_filter(regexp_extract_all(text, '["''`]([^"''`]{2,})["''`]', 1), lambda x: length(trim(x)) > 1) as a,
-list_filter(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z0-9]+){0,3})\\b', 1), lambda x: length(x) > 2) as b from (select conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '', 'g') as text from conversations))
-select conv_id, turn, array_to_string(case when len(a) > 0 then a when len(b) > 0 then b else [text] end, '|') as terms from t""")
-def ticket_terms(spark, sf_dir):
-    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "")  # \b means other things beyond ASCII to other engines
-    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(tickets.terms(plain), "|").alias("terms"))
+_TICKETS_SQL = "tickets as (select conv_id, turn, coalesce(text, '') || (['', ' after clicking Save', ' when I clicked it', ' when submitting', ' the database migration', ' the deployments', ' see the screencast', ' nothing happens', ' won''t save', ' does not respond'])[turn % 10 + 1] as text, case when turn % 9 = 8 then 1 else 0 end as shots from conversations)"
+
+
+@query(f"with {_TICKETS_SQL} select conv_id, turn, {_ENTRY_SQL} as entry_point from tickets")
+def ticket_classify(spark, sf_dir):
+    return _tickets(spark, sf_dir).select("conv_id", "turn", tickets.classify(F.col("text"), F.col("screenshots"), F.col("links")).alias("entry_point"))
 
 
 _WIDE_SPACE = r"[\t\n\v\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
@@ -405,10 +484,18 @@ _WIDE_SPACE = r"[\t\n\v\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{
 @query(rf"""with t as (select conv_id, turn, text, list_filter(regexp_extract_all(text, '["''`]([^"''`]{{2,}})["''`]', 1), lambda x: length(trim(x)) > 1) as a,
 list_filter(regexp_extract_all(text, '\b([A-Z][a-z]+(?:{_WIDE_SPACE}+[A-Z][a-z0-9]+){{0,3}})\b', 1), lambda x: length(x) > 2) as b from conversations)
 select conv_id, turn, array_to_string(case when len(a) > 0 then a when len(b) > 0 then b else [text] end, '|') as terms from t""")
-def ticket_terms_whole(spark, sf_dir):
+def ticket_terms(spark, sf_dir):
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(tickets.terms(F.col("text")), "|").alias("terms"))
 
 
+@query(rf"""with {_TICKETS_SQL}, e as (select *, {_ENTRY_SQL} as entry_point from tickets), t as (select *, list_filter(regexp_extract_all(text, '["''`]([^"''`]{{2,}})["''`]', 1), lambda x: length(trim(x)) > 1) as a,
+list_filter(regexp_extract_all(text, '\b([A-Z][a-z]+(?:{_WIDE_SPACE}+[A-Z][a-z0-9]+){{0,3}})\b', 1), lambda x: length(x) > 2) as b from e)
+select conv_id, turn, entry_point, case entry_point when 'out-of-domain' then 'out-of-scope' when 'unsupported' then 'unsupported-input' end as declined,
+case when entry_point not in ('out-of-domain', 'unsupported') then array_to_string(case when len(a) > 0 then a when len(b) > 0 then b else [text] end, '|') end as terms from t""")
+def ticket_resolve(spark, sf_dir):
+    return tickets.resolve(_tickets(spark, sf_dir)).select("conv_id", "turn", "entry_point", F.col("decline.reason").alias("declined"), F.array_join("terms", "|").alias("terms"))
+
+
 @query("""select source, doc_id, (ceil(length(text) / 4.0))::bigint as size, (sum(ceil(length(text) / 4.0)) over (partition by source order by doc_id))::bigint as used, (sum(ceil(length(text) / 4.0)) over (partition by source order by doc_id)) <= 4000 as fits from documents""")
 def token_budget(spark, sf_dir):
     sized = load(spark, sf_dir, "documents").select("source", "doc_id", tickets.tokens_of(F.col("text")).alias("size"))
@@ -433,6 +520,24 @@ def calibration_curve(spark, sf_dir):
     return metrics.calibration(both.select(F.round(F.least(F.col("n_chars") / 5000.0, F.lit(1.0)), 2).alias("score"), (F.col("quality") == 1).alias("correct")))
 
 
+_ANSWERS_SQL = "answers as (select l_quantity > 20 as \"right\", l_linenumber as ties, case when l_linenumber % 2 = 0 then 'ambiguous' else 'ok' end as status, case when l_tax > 0.04 then 'high' else 'low' end as level, l_returnflag = 'R' as outside, l_linestatus = 'O' as declined from lineitem)"
+
+
+@query(f"""with {_ANSWERS_SQL}
+select round(avg("right"::int) filter (not outside), 6) as accuracy, round(avg((status = 'ambiguous')::int) filter (not outside and ties > 1), 6) as ambiguity_honesty,
+round(avg((not "right" and level = 'high')::int) filter (not outside), 6) as poison, round(avg(declined::int) filter (outside), 6) as ood_decline from answers""")
+def eval_honesty(spark, sf_dir):
+    line = load(spark, sf_dir, "lineitem")
+    return metrics.honesty(line.select((F.col("l_quantity") > 20).alias("right"), F.col("l_linenumber").alias("ties"), F.when(F.col("l_linenumber") % 2 == 0, "ambiguous").otherwise("ok").alias("status"), F.when(F.col("l_tax") > 0.04, "high").otherwise("low").alias("level"), (F.col("l_returnflag") == "R").alias("outside"), (F.col("l_linestatus") == "O").alias("declined")))
+
+
+@query("""with f as (select unnest(case when p_size > 40 then ['unscanned-events', 'incomplete'] when p_size > 20 then ['incomplete'] else [] end) as flag from part) select flag, count(*) as n from f group by flag""")
+def incomplete_counts(spark, sf_dir):
+    size, none = F.col("p_size"), F.array().cast("array<string>")
+    flags = F.when(size > 40, F.array(F.lit("unscanned-events"), F.lit("incomplete"))).when(size > 20, F.array(F.lit("incomplete"))).otherwise(none)
+    return metrics.incomplete(load(spark, sf_dir, "part").select(flags.alias("flags")))
+
+
 @query("""with e as (select l_orderkey, list_distinct(list(l_suppkey)) as expected, list_distinct(list(case when l_linenumber % 3 = 0 then l_suppkey + 1 else l_suppkey end)) as got from lineitem group by l_orderkey),
 s as (select sum(len(list_intersect(expected, got)))::bigint as tp, sum(len(list_filter(got, lambda x: not list_contains(expected, x))))::bigint as fp, sum(len(list_filter(expected, lambda x: not list_contains(got, x))))::bigint as fn from e)
 select tp, fp, fn, round(tp / (tp + fp), 3) as precision, round(tp / (tp + fn), 3) as recall from s""")
@@ -442,17 +547,65 @@ def eval_metrics(spark, sf_dir):
     return metrics.tally(lines.groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("expected"), F.collect_set(wrong).alias("got")))
 
 
-@query("""with t as (select source as key, lang as locale, max_by(left(text, 40), doc_id) as text from documents group by source, lang)
-select key, locale, text from t""")
+@query("select source as key, lang as locale, max_by(text, doc_id) as text from documents group by source, lang")
 def locale_lookup(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    return docs.groupBy(F.col("source").alias("key"), F.col("lang").alias("locale")).agg(F.max_by(F.substring("text", 1, 40), "doc_id").alias("text"))
+    return docs.groupBy(F.col("source").alias("key"), F.col("lang").alias("locale")).agg(F.max_by("text", "doc_id").alias("text"))
 
 
-@query("select source as key, lang as locale, max_by(text, doc_id) as text from documents group by source, lang")
-def locale_texts(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
-    return docs.groupBy(F.col("source").alias("key"), F.col("lang").alias("locale")).agg(F.max_by("text", "doc_id").alias("text"))
+# --- source files: written from the parts, read, linked ----------------------------------------------
+
+_SOURCE_SQL = """p as (select p_partkey as k, p_partkey // 2 as h, p_name, p_brand, 'src/parts/Part' || p_partkey || '.tsx' as f from part),
+c as (select *, 'component:' || f || '#Part' || k as id from p)"""
+
+
+def _linked(spark, sf_dir):
+    return link.link(source_files(spark, sf_dir), source_locales(spark))
+
+
+@query(f"""with {_SOURCE_SQL} select id, 'component' as kind, 5 as line from c union all select 'component:src/App.tsx#App', 'component', 2
+union all select 'instance:' || f || ':13#Part' || h, 'instance', 13 from c where k <> h union all select unnest(['instance:src/App.tsx:3#Part1', 'instance:src/App.tsx:3#Part1~2']), 'instance', 3
+union all select 'data-source:' || f || '#fetch:/api/v2/parts/' || k, 'data-source', 7 from c union all select 'data-source:' || f || '#fetch:/api/all', 'data-source', 8 from c
+union all select 'state:' || f || '#Part' || k || '.open', 'state', 6 from c union all select 'event:' || f || '#Part' || k || '.click@14', 'event', 14 from c
+union all select distinct 'external:host' || (k % 3) || '.example.org', 'external', 15 from c union all select 'external:inbound', 'external', 3
+union all select unnest(['route:src/App.tsx#/parts', 'route:src/App.tsx#/oauthCallback']), 'route', 3
+union all select 'test:src/parts/Part' || k || '.test.tsx#Part' || k || '.test.tsx', 'test', 1 from c where k % 4 = 0""")
+def extract_nodes(spark, sf_dir):
+    return _linked(spark, sf_dir).nodes.select("id", "kind", "line")
+
+
+@query(f"""with {_SOURCE_SQL}, i as (select unnest(['instance:src/App.tsx:3#Part1', 'instance:src/App.tsx:3#Part1~2']) as i)
+select id as src, 'instance:' || f || ':13#Part' || h as dst, 'renders' as kind, null as via from c where k <> h union all select 'component:src/App.tsx#App', i, 'renders', null from i
+union all select 'instance:' || f || ':13#Part' || h, 'component:src/parts/Part' || h || '.tsx#Part' || h, 'instance-of', null from c where k <> h union all select i, 'component:src/parts/Part1.tsx#Part1', 'instance-of', null from i
+union all select id, 'data-source:' || f || '#fetch:/api/v2/parts/' || k, 'fetches-from', null from c union all select id, 'data-source:' || f || '#fetch:/api/all', 'fetches-from', null from c
+union all select id, 'state:' || f || '#Part' || k || '.open', 'reads-state', null from c union all select id, 'event:' || f || '#Part' || k || '.click@14', 'handles', null from c
+union all select 'event:' || f || '#Part' || k || '.click@14', 'state:' || f || '#Part' || k || '.open', 'writes-state', null from c
+union all select id, 'external:host' || (k % 3) || '.example.org', 'exits-app', 'https://host' || (k % 3) || '.example.org/p' from c
+union all select unnest(['route:src/App.tsx#/parts', 'route:src/App.tsx#/oauthCallback']), 'component:src/parts/Part1.tsx#Part1', 'routes-to', null union all select 'external:inbound', 'route:src/App.tsx#/oauthCallback', 'enters-at', null
+union all select id, 'test:src/parts/Part' || k || '.test.tsx#Part' || k || '.test.tsx', 'covered-by', null from c where k % 4 = 0""")
+def extract_edges(spark, sf_dir):
+    return _linked(spark, sf_dir).edges.select("src", "dst", "kind", "via")
+
+
+@query(f"""with {_SOURCE_SQL}, t as (select id, unnest([p_name, p_brand, 'Open', 'more']) as text, unnest(['jsx', 'attribute', 'jsx', 'jsx']) as source from c where k > 0
+union all select id, unnest([p_name, p_brand, 'Open', 'more']), unnest(['jsx', 'attribute', 'jsx', 'jsx']) from c where k = 0
+union all select id, unnest(['Art ' || (k % 5), 'Kind ' || (k % 5)]), 'i18n' from c where k % 5 < 4) select id, text, source from t""")
+def extract_texts(spark, sf_dir):
+    shown = _linked(spark, sf_dir).nodes.where("kind = 'component'").select("id", F.explode("renderedText").alias("t"))
+    return shown.select("id", "t.text", "t.source")
+
+
+@query(f"""with {_SOURCE_SQL} select 'data-source:' || f || '#fetch:/api/v2/parts/' || k as id, '/api/v2/parts/' || k as endpoint, 'GET' as method from c
+union all select 'data-source:' || f || '#fetch:/api/all', '/api/all', 'POST' from c""")
+def extract_sources(spark, sf_dir):
+    return _linked(spark, sf_dir).nodes.where("kind = 'data-source'").select("id", "endpoint", "method")
+
+
+@query(f"""with {_SOURCE_SQL} select id, 18 as end_line, 'title|size' as props, 1 as buttons, 1 as links, 1 as headings, 'Part' || h as renders from c
+union all select 'component:src/App.tsx#App', 4, '', null, null, null, 'Routes|Route|Part1'""")
+def extract_components(spark, sf_dir):
+    own = _linked(spark, sf_dir).nodes.where("kind = 'component'")
+    return own.select("id", "end_line", F.array_join("props", "|").alias("props"), F.col("structure.button").alias("buttons"), F.col("structure.link").alias("links"), F.col("structure.heading").alias("headings"), F.array_join("rendersComponents", "|").alias("renders"))
 
 
 @query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type")

@@ -82,3 +82,27 @@ def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRANSITIONS_SQL = "transitions as (select distinct page, target from (select event_type as page, lead(event_type) over (partition by user_id order by ts, event_id) as target from events) where target is not null)"
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, text): a component for each part, which renders that of half its number, and the files around them."""
+    part = load(spark, sf_dir, "part")
+    key, half = F.col("p_partkey"), F.floor(F.col("p_partkey") / 2)
+    say = lambda *x: F.concat(*[v if not isinstance(v, str) else F.lit(v) for v in x])
+    k, h = key.cast("string"), half.cast("string")
+    text = say(
+        "import { useState } from 'react';\nimport { BASE } from '../config';\nimport Part", h, " from './Part", h, "';\nconst ALL = '/api/all';\n",
+        "function Part", k, "({ title, size }) {\n  const [open, setOpen] = useState(false);\n  const rows = fetch(BASE + '/parts/", k, "');\n  const all = fetch(ALL, { method: 'post' });\n",
+        "  return (\n    <section>\n      <h1>", F.col("p_name"), "</h1>\n      <p>{t('types.", (key % 5).cast("string"), "')}</p>\n      <Part", h, " title=\"", F.col("p_brand"), "\" />\n",
+        "      <button onClick={() => setOpen(true)}>Open</button>\n      <a href=\"https://host", (key % 3).cast("string"), ".example.org/p\">more</a>\n    </section>\n  );\n}\nexport default Part", k, ";\n",
+    )
+    own = part.select(say("src/parts/Part", k, ".tsx").alias("file"), text.alias("text"))
+    tests = part.where("p_partkey % 4 = 0").select(say("src/parts/Part", k, ".test.tsx").alias("file"), say("import Part", k, " from './Part", k, "';\ntest('shows', () => { render(<Part", k, " />); });\n").alias("text"))
+    routes = say("import Part1 from './parts/Part1';\nexport function App() {\n  return <Routes><Route path=\"/parts\" element={<Part1 />} /><Route path=\"/oauthCallback\" element={<Part1 />} /></Routes>;\n}\n")
+    other = spark.range(1).select(F.explode(F.array(F.struct(F.lit("src/config.ts").alias("file"), F.lit("export const BASE = '/api/v2';\n").alias("text")), F.struct(F.lit("src/App.tsx").alias("file"), routes.alias("text")))).alias("x")).select("x.*")
+    return own.unionAll(tests).unionAll(other)
+
+
+def source_locales(spark: SparkSession) -> DataFrame:
+    """(key, locale, text) of the keys that the components of :func:`source_files` name."""
+    return spark.createDataFrame([(f"types.{k}", locale, f"{word} {k}") for k in range(4) for locale, word in (("de", "Art"), ("en", "Kind"))], "key string, locale string, text string")
