@@ -559,14 +559,22 @@ _SOURCE_SQL = """p as (select p_partkey as k, p_partkey // 2 as h, p_name, p_bra
 c as (select *, 'component:' || f || '#Part' || k as id from p)"""
 
 
+_graphs: dict[tuple[str, str], G.Graph] = {}
+
+
 def _linked(spark, sf_dir):
-    return link.link(source_files(spark, sf_dir), source_locales(spark))
+    """The graph of the sources; its tables are checkpointed, so the queries of a session share them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _graphs:
+        _graphs.clear()
+        _graphs[key] = link.link(source_files(spark, sf_dir), source_locales(spark))
+    return _graphs[key]
 
 
 @query(f"""with {_SOURCE_SQL} select id, 'component' as kind, 5 as line from c union all select 'component:src/App.tsx#App', 'component', 2
 union all select 'instance:' || f || ':13#Part' || h, 'instance', 13 from c where k <> h union all select unnest(['instance:src/App.tsx:3#Part1', 'instance:src/App.tsx:3#Part1~2']), 'instance', 3
 union all select 'data-source:' || f || '#fetch:/api/v2/parts/' || k, 'data-source', 7 from c union all select 'data-source:' || f || '#fetch:/api/all', 'data-source', 8 from c
-union all select 'state:' || f || '#Part' || k || '.open', 'state', 6 from c union all select 'event:' || f || '#Part' || k || '.click@14', 'event', 14 from c
+union all select 'state:' || f || '#Part' || k || '.open', 'state', 6 from c union all select 'event:' || f || '#Part' || k || '.click@14', 'event', 14 from c union all select 'event:' || f || '#Part' || k || '.pick@13', 'event', 13 from c
 union all select distinct 'external:host' || (k % 3) || '.example.org', 'external', 15 from c union all select 'external:inbound', 'external', 3
 union all select unnest(['route:src/App.tsx#/parts', 'route:src/App.tsx#/oauthCallback']), 'route', 3
 union all select 'test:src/parts/Part' || k || '.test.tsx#Part' || k || '.test.tsx', 'test', 1 from c where k % 4 = 0""")
@@ -577,8 +585,9 @@ def extract_nodes(spark, sf_dir):
 @query(f"""with {_SOURCE_SQL}, i as (select unnest(['instance:src/App.tsx:3#Part1', 'instance:src/App.tsx:3#Part1~2']) as i)
 select id as src, 'instance:' || f || ':13#Part' || h as dst, 'renders' as kind, null as via from c where k <> h union all select 'component:src/App.tsx#App', i, 'renders', null from i
 union all select 'instance:' || f || ':13#Part' || h, 'component:src/parts/Part' || h || '.tsx#Part' || h, 'instance-of', null from c where k <> h union all select i, 'component:src/parts/Part1.tsx#Part1', 'instance-of', null from i
+union all select 'data-source:' || f || '#fetch:/api/v2/parts/' || k, 'instance:' || f || ':13#Part' || h, 'provides-data', 'rows' from c where k <> h union all select 'data-source:' || f || '#fetch:/api/all', 'instance:' || f || ':13#Part' || h, 'provides-data', 'names' from c where k <> h
 union all select id, 'data-source:' || f || '#fetch:/api/v2/parts/' || k, 'fetches-from', null from c union all select id, 'data-source:' || f || '#fetch:/api/all', 'fetches-from', null from c
-union all select id, 'state:' || f || '#Part' || k || '.open', 'reads-state', null from c union all select id, 'event:' || f || '#Part' || k || '.click@14', 'handles', null from c
+union all select id, 'state:' || f || '#Part' || k || '.open', 'reads-state', null from c union all select id, 'event:' || f || '#Part' || k || '.click@14', 'handles', null from c union all select id, 'event:' || f || '#Part' || k || '.pick@13', 'handles', null from c
 union all select 'event:' || f || '#Part' || k || '.click@14', 'state:' || f || '#Part' || k || '.open', 'writes-state', null from c
 union all select id, 'external:host' || (k % 3) || '.example.org', 'exits-app', 'https://host' || (k % 3) || '.example.org/p' from c
 union all select unnest(['route:src/App.tsx#/parts', 'route:src/App.tsx#/oauthCallback']), 'component:src/parts/Part1.tsx#Part1', 'routes-to', null union all select 'external:inbound', 'route:src/App.tsx#/oauthCallback', 'enters-at', null
@@ -602,10 +611,10 @@ def extract_sources(spark, sf_dir):
 
 
 @query(f"""with {_SOURCE_SQL} select id, 18 as end_line, 'title|size' as props, 1 as buttons, 1 as links, 1 as headings, 'Part' || h as renders from c
-union all select 'component:src/App.tsx#App', 4, '', null, null, null, 'Routes|Route|Part1'""")
+union all select 'component:src/App.tsx#App', 4, '', 0, 0, 0, 'Routes|Route|Part1'""")
 def extract_components(spark, sf_dir):
     own = _linked(spark, sf_dir).nodes.where("kind = 'component'")
-    return own.select("id", "end_line", F.array_join("props", "|").alias("props"), F.col("structure.button").alias("buttons"), F.col("structure.link").alias("links"), F.col("structure.heading").alias("headings"), F.array_join("rendersComponents", "|").alias("renders"))
+    return own.select("id", "end_line", F.array_join("props", "|").alias("props"), *[F.coalesce(f"structure.{c}", F.lit(0)).alias(f"{c}s") for c in ("button", "link", "heading")], F.array_join("rendersComponents", "|").alias("renders"))
 
 
 @query("select event_type, count(*) as n, round(sum(value), 4) as total from events group by event_type")

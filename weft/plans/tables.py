@@ -92,8 +92,8 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, h = key.cast("string"), half.cast("string")
     text = say(
         "import { useState } from 'react';\nimport { BASE } from '../config';\nimport Part", h, " from './Part", h, "';\nconst ALL = '/api/all';\n",
-        "function Part", k, "({ title, size }) {\n  const [open, setOpen] = useState(false);\n  const rows = fetch(BASE + '/parts/", k, "');\n  const all = fetch(ALL, { method: 'post' });\n",
-        "  return (\n    <section>\n      <h1>", F.col("p_name"), "</h1>\n      <p>{t('types.", (key % 5).cast("string"), "')}</p>\n      <Part", h, " title=\"", F.col("p_brand"), "\" />\n",
+        "function Part", k, "({ title, size }) {\n  const [open, setOpen] = useState(false);\n  const rows = fetch(BASE + '/parts/", k, "');\n  const all = fetch(ALL, { method: 'post' }); const names = all.slice(1);\n",
+        "  return (\n    <section>\n      <h1>", F.col("p_name"), "</h1>\n      <p>{t('types.", (key % 5).cast("string"), "')}</p>\n      <Part", h, " title=\"", F.col("p_brand"), "\" rows={rows.first} names={names} onPick={() => all} />\n",
         "      <button onClick={() => setOpen(true)}>Open</button>\n      <a href=\"https://host", (key % 3).cast("string"), ".example.org/p\">more</a>\n    </section>\n  );\n}\nexport default Part", k, ";\n",
     )
     own = part.select(say("src/parts/Part", k, ".tsx").alias("file"), text.alias("text"))
