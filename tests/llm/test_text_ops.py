@@ -343,6 +343,72 @@ def test_simhash_recall_of_the_recursion_against_all_pairs(spark, monkeypatch, d
     assert (found <= want).all() and found.sum() >= 0.98 * want.sum() and want.sum()
 
 
+@pytest.mark.parametrize("n, rows, compared", [(1_000_000, 60, 30_000), (3_000_000, 90, 45_000), (15_000_000, 160, 60_000)])
+def test_simhash_work_of_a_fingerprint_stays_small(n, rows, compared):
+    plan = simhash.plan(n)
+    assert simhash.rows_of(plan) <= rows
+    assert simhash.rows_of(plan) * n * simhash.passing(plan.weight, plan.strip) ** plan.depth / 2 <= compared
+    filters = plan.repetitions * plan.depth * plan.centres  # 109 x 2 x 64 at three million before, twice
+    assert filters <= 5000
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 300])
+def test_simhash_narrow_strips_against_all_pairs(spark, monkeypatch, block):
+    """Small lists in step, long ones in pairs of blocks; queries: every row whose id is divisible by 50."""
+    from weft.llm import links
+
+    rng = np.random.default_rng(11)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 60)] for _ in range(40)]
+    docs = []
+    for k in range(4000):
+        own = list(base[int(rng.integers(0, 40))]) if k % 2 else [f"w{x}" for x in rng.integers(0, 5000, 60)]
+        for at in rng.integers(0, 60, int(rng.integers(0, 12))):
+            own[at] = f"v{int(rng.integers(0, 5000))}"
+        docs.append((k, " ".join(own)))
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    own = simhash.Plan(1, 4, 0, 2, simhash.repetitions_of(1, 4, 0, 2))
+    monkeypatch.setattr(simhash, "plan", lambda n, threshold: own)
+    split = links.in_blocks
+    monkeypatch.setattr(simhash.links, "in_blocks", lambda rows, sizes, bucket, identity, most: split(rows, sizes, bucket, identity, block))
+    got = simhash.near_duplicates(documents).toPandas().set_index("doc_id").n_links
+    prints = simhash.fingerprint(documents).toPandas().set_index("doc_id")[[f"f{k}" for k in range(4)]]
+    x = prints.to_numpy().view(np.uint64)
+    asked = np.flatnonzero(prints.index.to_numpy() % 50 == 0)
+    asked = np.append(asked, np.flatnonzero(prints.index.to_numpy() % 50 == 1))  # copies have odd ids
+    want = (np.bitwise_count(x[asked, None] ^ x[None]).sum(axis=2) <= simhash.THRESHOLD).sum(axis=1) - 1
+    found = got.loc[prints.index[asked]].to_numpy()
+    assert (found <= want).all() and found.sum() >= 0.98 * want.sum() and want.sum() > 1000
+
+
+def test_simhash_sum_of_eight():
+    bits = np.random.default_rng(13).integers(0, 2, (8, 300, 64)).astype(np.uint8)
+    bits[:, 0], bits[:, 1] = 0, 1
+    planes = simhash._sum_of_eight(np.packbits(bits, axis=2).view(np.uint64)[:, :, 0])
+    got = sum(np.unpackbits(x[:, None].view(np.uint8), axis=1).astype(int) << k for k, x in enumerate(planes))
+    assert (got == bits.sum(axis=0)).all()
+
+
+def test_simhash_first_shared_list_counts_each_pair_once():
+    rng = np.random.default_rng(12)
+    u = rng.integers(0, 1 << 63, (3000, 4)).astype(np.uint64)
+    u[1000:] = u[rng.integers(0, 1000, 2000)] ^ (np.uint64(1) << rng.integers(0, 64, (2000, 4)).astype(np.uint64))
+    far = np.bitwise_count(u[:, None] ^ u[None]).sum(axis=2)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(far <= simhash.THRESHOLD)) if a < b}
+    own = simhash.Plan(1, 5, 0, 2, 12)
+    got = []
+    for r in range(own.repetitions):
+        row, path = simhash.lists(u, r, own)
+        assert len(row) == len(u)  # one list of a repetition
+        row = row[np.argsort(path, kind="stable")]
+        path = np.sort(path)
+        starts = np.append(np.flatnonzero(np.append(True, path[1:] != path[:-1])), len(path))
+        one = np.zeros(len(path), np.int64)
+        for a, b in simhash._in_steps(simhash._pairs(u[row], starts, one, one, one, simhash.THRESHOLD)):
+            mine = simhash._first(u[row], a, b, path[a], own)
+            got += [(min(p), max(p)) for p in zip(row[a[mine]].tolist(), row[b[mine]].tolist())]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) > 0.99 * len(want) > 1000
+
+
 def test_components_of_a_long_path(spark):
     from weft.llm import links
 
