@@ -197,3 +197,13 @@ def test_side_tables(spark, tmp_path):
     sources = spark.createDataFrame([(None, "/u/:id", None), ("POST", "/u/:id", None), ("GET", "/u/:id", "Own"), ("GET", "/v", None)], "method string, endpoint string, response string")
     assert sorted(map(str, (r.response for r in files.with_responses(sources, described).collect()))) == ["None", "Own", "U", "U"]
     assert files.history(spark, f"{tmp_path}", ["a"]).count() == 0 and files.provenance(f"{tmp_path}") == (None, False)
+
+
+def test_scores_are_rounded_as_in_sql(spark):
+    import duckdb
+
+    want = dict(duckdb.sql("select i, round(i / 5000.0, 2) from range(0, 5001) r(i)").fetchall())
+    got = {r.id: r.s for r in spark.range(5001).select("id", metrics.rounded(F.col("id") / 5000.0, 2).alias("s")).collect()}
+    assert got == want and got[725] == 0.14
+    answers = spark.range(640).select(F.lit(0.5).alias("score"), (F.col("id") < 41).alias("correct"))
+    assert metrics.calibration(answers).first().precision == duckdb.sql("select round(41 / 640, 6)").fetchall()[0][0]

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def rounded(value: Column, places: int) -> Column:
+    """A double rounded as SQL engines do, by its scaled value; F.round goes by its shortest decimal text, which differs at ties."""
+    scale = F.lit(10.0**places)
+    return F.round(value * scale) / scale
+
+
 def tally(answers: DataFrame) -> DataFrame:
     """tp, fp, fn, precision and recall over (expected, got) arrays."""
     tp, fp, fn = (F.sum(F.size(x)) for x in (F.array_intersect("expected", "got"), F.array_except("got", "expected"), F.array_except("expected", "got")))
     sums = answers.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
-    ratio = lambda a, b: F.when(a + b > 0, F.round(a / (a + b), 3)).otherwise(1.0)
+    ratio = lambda a, b: F.when(a + b > 0, rounded(a / (a + b), 3)).otherwise(1.0)
     return sums.select("tp", "fp", "fn", ratio(F.col("tp"), F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("fn")).alias("recall"))
 
 
@@ -19,7 +25,7 @@ def calibration(answers: DataFrame) -> DataFrame:
     by = answers.groupBy("score").agg(F.count("*").alias("k"), F.sum(F.col("correct").cast("int")).alias("c"))
     down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     run = by.select(F.col("score").alias("threshold"), F.sum("k").over(down).alias("n"), F.sum("c").over(down).alias("correct"))
-    return run.withColumn("precision", F.round(F.col("correct") / F.col("n"), 6))
+    return run.withColumn("precision", rounded(F.col("correct") / F.col("n"), 6))
 
 
 def thresholds(curve: DataFrame, floor: float = 0.95) -> DataFrame:
@@ -32,7 +38,7 @@ def thresholds(curve: DataFrame, floor: float = 0.95) -> DataFrame:
 def honesty(answers: DataFrame) -> DataFrame:
     """Shares of answers that are right; of answers with several leaders that say so; of wrong ones at high level (poison);
     of tickets outside that are declined. answers: (right, ties, status, level, outside, declined); of nothing, null."""
-    share = lambda hit, of: F.round(F.try_divide(F.count_if(hit & of), F.count_if(of)), 6)
+    share = lambda hit, of: rounded(F.try_divide(F.count_if(hit & of), F.count_if(of)), 6)
     inside = ~F.col("outside")
     return answers.agg(
         share(F.col("right"), inside).alias("accuracy"), share(F.col("status") == "ambiguous", inside & (F.col("ties") > 1)).alias("ambiguity_honesty"),
@@ -54,7 +60,7 @@ def incomplete(nodes: DataFrame) -> DataFrame:
 def coverage(components: DataFrame, covered: DataFrame) -> DataFrame:
     """Share of components with a test."""
     both = components.select("id").distinct().join(covered.select("id").distinct().withColumn("hit", F.lit(1)), "id", "left")
-    return both.agg(F.count("*").alias("components"), F.count("hit").alias("covered"), F.round(F.try_divide(F.count("hit"), F.count("*")), 6).alias("ratio"))
+    return both.agg(F.count("*").alias("components"), F.count("hit").alias("covered"), rounded(F.try_divide(F.count("hit"), F.count("*")), 6).alias("ratio"))
 
 
 def untested(components: DataFrame, covered: DataFrame) -> DataFrame:
