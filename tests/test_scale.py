@@ -44,3 +44,13 @@ def test_nothing_in_nothing_out(spark):
     assert versions.rename_pairs(empty, empty).count() == 0
     assert metrics.coverage(graph.nodes.limit(0), graph.nodes.limit(0)).first().components == 0
     assert part_components(spark, SF).count() > 0
+
+
+def test_source_files_are_read_by_many_tasks(spark, monkeypatch):
+    from weft.plans import tables
+
+    monkeypatch.setattr(tables, "PARTS_A_TASK", 20)
+    files = tables.source_files(spark, SF)
+    parts = spark.read.parquet(f"{SF}/part.parquet").count()
+    most = files.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert files.count() > parts >= 100 and most <= 60
