@@ -54,3 +54,10 @@ def test_source_files_are_read_by_many_tasks(spark, monkeypatch):
     parts = spark.read.parquet(f"{SF}/part.parquet").count()
     most = files.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert files.count() > parts >= 100 and most <= 60
+
+
+def test_a_trace_is_aggregated_once(spark):
+    graph = sales_graph(spark, SF)
+    starts = graph.nodes.where("id = 'customer:1'").select(F.col("id").alias("origin"), F.col("id").alias("node"))
+    traced = traverse.trace_lineage(graph, starts)
+    assert "Aggregate" not in plan(traced) and traced.count() > 1
